@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfit.llm import chat, huffman, packing
+from lumenfit.llm import chat, fingerprint, huffman, packing, secrets
 
 QUERIES = {
+    "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_packing": packing.op3_packing,
+    "op6_secrets": secrets.op6_secrets,
     "op9_token_file": huffman.op9_token_file,
     "op10_chat_format": chat.op10_chat_format,
 }
