@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lumenfit.llm import chat, fingerprint, huffman, packing, secrets
+from lumenfit.llm import chat, fingerprint, huffman, langid, licenses, packing, secrets
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_packing": packing.op3_packing,
     "op6_secrets": secrets.op6_secrets,
+    "op7_licenses": licenses.op7_licenses,
+    "op8_language": langid.op8_language,
     "op9_token_file": huffman.op9_token_file,
     "op10_chat_format": chat.op10_chat_format,
 }
