@@ -45,3 +45,12 @@ def text_of(col: str = "text"):
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def let(value, body):
+    """body(value) with value computed once.
+
+    A lambda's argument is a bound variable; a column that is used inside one
+    could be inlined there, and be computed for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

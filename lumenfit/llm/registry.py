@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfit.llm import chat, fingerprint, huffman, langid, licenses, packing, secrets
+from lumenfit.llm import chat, decontam, fingerprint, huffman, langid, licenses, packing, secrets
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_packing": packing.op3_packing,
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op6_secrets": secrets.op6_secrets,
     "op7_licenses": licenses.op7_licenses,
     "op8_language": langid.op8_language,

@@ -105,11 +105,10 @@ def secret_spans(df: DataFrame, sample_rows: int = 4000, margin: float = 12.0) -
     base = F.concat(located(text, ASSIGN, 0, 2, 6), located(text, ACCESS, 1), located(text, HEX, 2))
     run = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
     odd = lambda s: run(s).rlike("[0-9]") & run(s).rlike("[A-Za-z]") & (llr(run(s), model) > margin)
-    out = df.withColumn("base", base).withColumn("runs", located(text, CANDIDATE, 3))
-    free = F.filter("runs", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = out.withColumn("runs", F.when(F.size("runs") > 0, free).otherwise(F.col("runs")))
-    out = out.withColumn("runs", F.when(F.size("runs") > 0, F.filter("runs", odd)).otherwise(F.col("runs")))
-    return out.withColumn("spans", F.sort_array(F.concat("base", "runs"))).drop("base", "runs")
+    free = lambda runs, base: F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & odd(s))
+    none = F.array().cast(SPAN)
+    both = common.let(F.struct(base.alias("base"), located(text, CANDIDATE, 3).alias("runs")), lambda x: F.concat(x["base"], F.when(F.size(x["runs"]) > 0, free(x["runs"], x["base"])).otherwise(none)))
+    return df.withColumn("spans", F.sort_array(both))
 
 
 def told(spans: Column) -> Column:
