@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenfit.llm import chat, decontam, fingerprint, huffman, langid, licenses, packing, secrets
+from lumenfit.llm import chat, decontam, fingerprint, huffman, langid, licenses, packing, secrets, substrings
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
+    "op2_substrings": substrings.op2_substrings,
     "op3_packing": packing.op3_packing,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op6_secrets": secrets.op6_secrets,
