@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumenfit.llm import chat, decontam, fingerprint, huffman, langid, licenses, packing, secrets, substrings
+from lumenfit.llm import chat, decontam, fingerprint, huffman, langid, licenses, neardup, packing, secrets, substrings
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op2_substrings": substrings.op2_substrings,
     "op3_packing": packing.op3_packing,
     "op4_decontaminate": decontam.op4_decontaminate,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_secrets": secrets.op6_secrets,
     "op7_licenses": licenses.op7_licenses,
     "op8_language": langid.op8_language,
