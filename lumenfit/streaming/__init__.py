@@ -1,0 +1,6 @@
+"""Streams: the modeled operators have no streaming counterpart.
+
+Fitting is a batch aggregation.  Prediction and feature expansion are plain
+projections, so ``predict_final_ols(..., check=False)`` and
+``apply_feature_expansion(..., warn=False)`` accept a streaming DataFrame.
+"""
