@@ -300,7 +300,8 @@ def large_links(members: DataFrame, idf: np.ndarray, similarity: float, need: in
 
     def asked(nodes: DataFrame) -> DataFrame:
         rows = members.join(nodes, ["label", "node"], "left_semi")
-        return rows.drop("salt").join(members.select("label", "salt").distinct(), "label")
+        spread = rows.drop("salt").join(members.select("label", "salt").distinct(), "label")
+        return spread.select(*(F.col(n).alias(n) for n in spread.columns))  # columns of their own: members stand on the other side
 
     for _ in range(rounds):
         if free.isEmpty():
@@ -367,11 +368,11 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0
     members = keys.join(often, "key")
     edges = None
     while True:
-        salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / crowd)))
+        salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") * 4 / crowd)))
         links = common.stash(propose(salted.join(texts.select("node", "signature"), "node").select("key", "salt", "node", "signature"), agreement), "proposed")
         edges = links.select("u", "v") if edges is None else edges.union(links.select("u", "v"))
         # leaders of buckets that were dealt to several groups meet in turn
-        leaders = links.filter("u = v").select("key", F.col("u").alias("node")).join(members.filter(F.col("n") > crowd).select("key", F.col("n").alias("was")).distinct(), "key")
+        leaders = links.filter("u = v").select("key", F.col("u").alias("node")).join(members.filter(F.col("n") * 4 > crowd).select("key", F.col("n").alias("was")).distinct(), "key")
         counts = leaders.groupBy("key", "was").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND n < was")
         members = common.stash(leaders.select("key", "node").join(counts.select("key", "n"), "key"), "leaders")
         if members.isEmpty():
