@@ -28,10 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = neardup.near_duplicates(docs.select("doc_id", "text"))
     # the kept row of a class is known by doc_id and the hash of its text
     best = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
-    best = best.select(F.col("x.doc_id").alias("id"), F.col("x.node").alias("node")).distinct()
-    rows = docs.select(*COLUMNS).withColumn("h", F.xxhash64(common.text_of()))
-    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("node")), "left_semi")
-    return kept.drop("h").dropDuplicates(["doc_id", "text"])
+    best = best.select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), "x.none", F.col("x.node").alias("h")).distinct()
+    best = common.stash(best, "kept")
+    common.release(spark)
+    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64(common.text_of()).alias("h"))
+    # repeated rows fall together on the join's own keys, so texts are dealt once
+    keys = ["id", "none", "h"]
+    return rows.join(best, keys, "left_semi").dropDuplicates(keys).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
