@@ -148,18 +148,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     formatted = format_conversations(rows.unionByName(extra), tokens.tokenizer_path("byte_bpe_50k.json"))
-    return read_back(common.stash(formatted, "chat"))
+    return read_back(common.stash(formatted, "chat")).drop("n_tokens", "loss_tokens")
 
 
-#: For DuckDB; formatted_chars, n_tokens and loss_tokens are the template's own, so op10 as a whole has none.
-TURNS_SQL = """
+#: For DuckDB: each text once more than it stands in the template, with a backslash in each control string.
+SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(text, '(\[/?INST|</?s|<t)(\\*)([\]>])', '\1\2\\\3', 'g') AS body,
+    CASE WHEN role IS NULL THEN '~' ELSE '=' || regexp_replace(role, '(\[/?INST|</?s|<t)(\\*)([\]>])', '\1\2\\\3', 'g') END AS head FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM t GROUP BY conv_id
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(head) + length(body) + CASE WHEN role = 'assistant' THEN 10 ELSE 16 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
 """

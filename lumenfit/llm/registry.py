@@ -16,4 +16,5 @@ QUERIES = {
     "op9_token_file": huffman.op9_token_file,
     "op10_chat_format": chat.op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+#: Where SQL can express an operator and is quick enough on whole tables.
+ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op10_chat_format": chat.SQL}

@@ -480,3 +480,19 @@ def remove_repeats(df: DataFrame, sample: float = 0.02, heavy: int = 200, crowd:
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"), keep=False).drop("kept")
+
+
+#: For DuckDB; bytes are pairs of hex digits.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+dup AS (SELECT doc_id, p FROM w JOIN m USING (s) WHERE doc_id > first),
+isle AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM dup),
+grp AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM isle),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM grp GROUP BY doc_id, g),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM span),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS removed, count(*) AS spans FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
