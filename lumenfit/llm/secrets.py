@@ -59,19 +59,26 @@ def bigrams(s: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.element_at(codes, i) * SYMBOLS + F.try_element_at(codes, i + 1))
 
 
-def train(labelled: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(labelled: DataFrame, smoothing: float = 0.5, backoff: float = 64.0) -> list[float]:
     """Log-likelihood ratios random : ordinary of all bigrams, from rows (s string, secret boolean).
 
+    A character's followers are backed off to the model's characters at large.
     Collected are at most 2 * 96 * 96 counts.  Null and one-character strings
     tell nothing; without any rows all ratios are 0.
     """
     pairs = labelled.filter("length(s) >= 2").select("secret", F.explode(bigrams(F.col("s"))).alias("g"))
-    counts = {True: [smoothing] * SYMBOLS**2, False: [smoothing] * SYMBOLS**2}
+    counts = {True: [0.0] * SYMBOLS**2, False: [0.0] * SYMBOLS**2}
     for r in pairs.groupBy("secret", "g").count().collect():
         if r.secret is not None and r.g is not None:
             counts[r.secret][r.g] += r["count"]
-    rows = {k: [sum(v[i * SYMBOLS : (i + 1) * SYMBOLS]) for i in range(SYMBOLS)] for k, v in counts.items()}
-    return [math.log(counts[True][g] / rows[True][g // SYMBOLS] * rows[False][g // SYMBOLS] / counts[False][g]) for g in range(SYMBOLS**2)]
+
+    def chances(n: list[float]) -> list[float]:
+        alone = [sum(n[j::SYMBOLS]) + smoothing for j in range(SYMBOLS)]
+        total = sum(alone)
+        rows = [sum(n[i * SYMBOLS : (i + 1) * SYMBOLS]) + backoff for i in range(SYMBOLS)]
+        return [(n[i * SYMBOLS + j] + backoff * alone[j] / total) / rows[i] for i in range(SYMBOLS) for j in range(SYMBOLS)]
+
+    return [math.log(a / b) for a, b in zip(chances(counts[True]), chances(counts[False]), strict=True)]
 
 
 def llr(s: Column, model: list[float]) -> Column:
@@ -81,20 +88,23 @@ def llr(s: Column, model: list[float]) -> Column:
 
 
 def labelled_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """Strings with a label from ``rows`` documents with the least hashes of doc_id: what the base patterns hold, and ordinary words."""
-    part = docs.select("text", F.xxhash64("doc_id", F.length("text")).alias("o")).orderBy("o").limit(rows)
+    """Strings with a label from ``rows`` documents with the least hashes: what the base patterns hold, and ordinary words."""
+    marked = docs.select("text", F.xxhash64("doc_id", "text").alias("o"))
+    # hashes alone are ordered; of equal rows one is taken
+    least = F.broadcast(marked.select("o").distinct().orderBy("o").limit(rows))
+    part = common.stash(marked.join(least, "o", "left_semi").dropDuplicates(["o"]), "sample")
     held = lambda p, g: F.filter(F.regexp_extract_all("text", F.lit(p), F.lit(g)), lambda s: F.length(s) >= 16)
     secret = part.select(F.explode(F.concat(held(ASSIGN, 2), held(ACCESS, 0), held(HEX, 0))).alias("s"), F.lit(True).alias("secret"))
     plain = part.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("s"), F.lit(False).alias("secret"))
     return secret.unionByName(plain)
 
 
-def secret_spans(df: DataFrame, sample_rows: int = 4000, margin: float = 12.0) -> DataFrame:
+def secret_spans(df: DataFrame, sample_rows: int = 4000, margin: float = 12.0, rate: float = 0.5) -> DataFrame:
     """The input with ``spans``: all secret spans of ``text``, by start, then kind, in code points.
 
     Base spans stay as they are; the models add runs that overlap none of them.
-    sample_rows bounds the documents that the models are trained on; margin is
-    the ratio, in nats, above which a run counts as random.
+    sample_rows bounds the documents that the models are trained on; a run is
+    random if its ratio exceeds margin, and rate for each character, in nats.
 
     Null text has no spans, and neither has an empty one.  Rows are looked at one
     by one: repeated rows, null ids and further columns make no difference.
@@ -104,7 +114,7 @@ def secret_spans(df: DataFrame, sample_rows: int = 4000, margin: float = 12.0) -
     text = common.text_of()
     base = F.concat(located(text, ASSIGN, 0, 2, 6), located(text, ACCESS, 1), located(text, HEX, 2))
     run = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    odd = lambda s: run(s).rlike("[0-9]") & run(s).rlike("[A-Za-z]") & (llr(run(s), model) > margin)
+    odd = lambda s: run(s).rlike("[0-9]") & run(s).rlike("[A-Za-z]") & (llr(run(s), model) > F.greatest(F.lit(margin), rate * F.length(run(s))))
     free = lambda runs, base: F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & odd(s))
     none = F.array().cast(SPAN)
     both = common.let(F.struct(base.alias("base"), located(text, CANDIDATE, 3).alias("runs")), lambda x: F.concat(x["base"], F.when(F.size(x["runs"]) > 0, free(x["runs"], x["base"])).otherwise(none)))
