@@ -112,18 +112,21 @@ def sketch(texts: DataFrame) -> np.ndarray:
                 total += np.bincount(cell(shingles(part)[1]), minlength=CELLS)
         at, data = [], []
         for s in range(SLICES):
-            used = np.flatnonzero(total[s * step : (s + 1) * step])
-            if len(used):
+            part = total[s * step : (s + 1) * step]
+            if part.any():
+                # a byte for each cell, and what doesn't fit in one
+                over = np.flatnonzero(part > 255)
                 at.append(s)
-                data.append(used.astype("<u4").tobytes() + total[s * step + used].astype("<u8").tobytes())
+                data.append(np.minimum(part, 255).astype(np.uint8).tobytes() + over.astype("<u4").tobytes() + (part[over] - 255).astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(data, pa.binary())], ["slice", "data"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(data) // 12
-                total.setdefault(s, np.zeros(step, np.int64))[np.frombuffer(data, "<u4", n)] += np.frombuffer(data, "<u8", n, 4 * n).astype(np.int64)
+                into, n = total.setdefault(s, np.zeros(step, np.int64)), (len(data) - step) // 12
+                into += np.frombuffer(data, np.uint8, step)
+                into[np.frombuffer(data, "<u4", n, step)] += np.frombuffer(data, "<u8", n, step + 4 * n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype("<u8").tobytes() for v in total.values()], pa.binary())], ["slice", "data"])
 
     kind = "slice long, data binary"
@@ -292,11 +295,12 @@ def central(members: DataFrame, hubs: int) -> DataFrame:
 def large_links(members: DataFrame, idf: np.ndarray, similarity: float, need: int, crowd: int, hubs: int, rounds: int) -> DataFrame:
     """Links within components of more than ``crowd`` texts, dealt to groups of about that many.
 
-    Rounds: all that is free meets the most central free texts.  What no round
-    has linked is then, at most crowd of a label at once, held against all members.
+    Rounds: all that is free meets the most central free texts, until at most
+    crowd of a label are left.  What no round has linked is then, at most crowd
+    of a label at once, held against all members.
     """
     found = None
-    free = members
+    free, left = members, 0
 
     def asked(nodes: DataFrame) -> DataFrame:
         rows = members.join(nodes, ["label", "node"], "left_semi")
@@ -304,14 +308,13 @@ def large_links(members: DataFrame, idf: np.ndarray, similarity: float, need: in
         return spread.select(*(F.col(n).alias(n) for n in spread.columns))  # columns of their own: members stand on the other side
 
     for _ in range(rounds):
-        if free.isEmpty():
-            break
         links = common.stash(compared(free, asked(common.stash(central(free, hubs), "hubs")), idf, similarity, need), "links")
         found = links if found is None else found.unionByName(links)
         met = links.filter("u <> v")
-        free = free.join(met.select(F.col("u").alias("node")).union(met.select("v")).distinct(), "node", "left_anti")
-        free = common.stash(free, "free")
-        if met.isEmpty():
+        met = met.select(F.col("u").alias("node")).union(met.select("v")).distinct()
+        free = common.stash(free.join(met, "node", "left_anti"), "free")
+        left, was = free.groupBy("label").count().agg(F.max("count")).first()[0] or 0, left
+        if left <= crowd or left == was:
             break
     chunk = F.floor(F.row_number().over(W.partitionBy("label", "salt").orderBy("node")) / F.lit(max(1, crowd // 8)))
     rest = common.stash(free.select("label", "node", "salt").withColumn("turn", F.concat_ws("-", F.floor(F.col("salt") / 8), chunk)), "rest")
@@ -366,17 +369,18 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0
     keys = texts.select("node", F.explode("bands").alias("key"))
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = keys.join(often, "key")
-    edges = None
+    edges, most = None, crowd / 4
     while True:
-        salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") * 4 / crowd)))
+        # larger groups each round, so that in the end all leaders of a bucket have met
+        salted = members.withColumn("salts", F.ceil(F.col("n") / most)).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(most)), F.col("salts")))
         links = common.stash(propose(salted.join(texts.select("node", "signature"), "node").select("key", "salt", "node", "signature"), agreement), "proposed")
         edges = links.select("u", "v") if edges is None else edges.union(links.select("u", "v"))
-        # leaders of buckets that were dealt to several groups meet in turn
-        leaders = links.filter("u = v").select("key", F.col("u").alias("node")).join(members.filter(F.col("n") * 4 > crowd).select("key", F.col("n").alias("was")).distinct(), "key")
-        counts = leaders.groupBy("key", "was").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND n < was")
-        members = common.stash(leaders.select("key", "node").join(counts.select("key", "n"), "key"), "leaders")
-        if members.isEmpty():
+        dealt = members.filter(F.col("n") > most).select("key").distinct()
+        leaders = common.stash(links.filter("u = v").select("key", F.col("u").alias("node")).join(dealt, "key", "left_semi"), "leaders")
+        if leaders.isEmpty():
             break
+        members = leaders.join(common.stash(leaders.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts").filter("n > 1"), "key")
+        most *= 2
     labels = components(edges.filter("u <> v"))
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     placed = labels.join(sizes, "label").join(texts.select("node", "first_doc", "signature"), "node")
