@@ -35,6 +35,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs whose results are written; else they stay until the driver happens to collect garbage."""
+    import gc
+    import time
+
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)  # the gateway lets go of dropped objects in a thread that looks once a second
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)  # for Spark's cleaner, which works in the background
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -409,6 +409,9 @@ def remove_repeats(df: DataFrame, sample: float = 0.02, heavy: int = 200, crowd:
         return pa.Table.from_batches([dealt(signed(marks["row"]) % buckets, marks)]) if len(marks) else pa.table({"bucket": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
 
     decided = base.mapInArrow(find, DEALT).groupBy("bucket").applyInArrow(meet, "bucket long, payload binary")
+    # written first, so that the entries' shuffle, the largest, is gone before the texts are dealt
+    decided = common.stash(decided, "marks")
+    common.release(spark)
     place = F.pmod("row", F.lit(buckets))
 
     def apply(texts: pa.Table, marked: pa.Table) -> pa.Table:
