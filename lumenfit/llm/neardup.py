@@ -10,7 +10,7 @@ weighted Jaccard similarity inside each component of candidates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -324,14 +324,90 @@ def large_links(members: DataFrame, idf: np.ndarray, similarity: float, need: in
     return found
 
 
+class Unions:
+    """Sets of class numbers that links make one."""
+
+    def __init__(self, n: int):
+        self.over = np.arange(n)
+
+    def join(self, of: int, others: np.ndarray) -> None:
+        self.over[np.isin(self.over, self.over[others])] = self.over[of]
+
+
+def across(sig: np.ndarray, group: Callable[[], np.ndarray], side: np.ndarray, halves: bool, band: int, need: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, later texts of other groups that agree with it in ``need`` samples and have no band before ``band`` in common).
+
+    With ``halves`` only texts of different sides meet.  group may change meanwhile.
+    """
+    for y in range(len(sig)):
+        rest = np.arange(y + 1, len(sig))
+        rest = rest[(group()[rest] != group()[y]) & (not halves or side[rest] != side[y])]
+        if not len(rest):
+            continue
+        same = sig[rest] == sig[y]
+        near = (same.sum(axis=1) >= need) & ~same[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+        if near.any():
+            yield y, rest[near]
+
+
+def border_links(large: DataFrame, bands: DataFrame, links: DataFrame, idf: np.ndarray, similarity: float, need: int, crowd: int) -> DataFrame:
+    """Links (u, v) between the classes that ``links`` has made of each label's texts (label, node, signature, text).
+
+    bands: node, bands.  All pairs of different classes with a band in common
+    are looked at.  Buckets that hold several classes are dealt to blocks of at
+    most about ``crowd``, and each block meets each.  Signatures meet first;
+    texts follow where they agree with a text of another class.
+    """
+    classes = components(links)
+    own = large.select("label", "node", "signature").join(classes.select("node", F.col("label").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    keyed = own.select("label", "node", "class").join(bands, "node").select("label", "node", "class", F.posexplode("bands").alias("band", "key"))
+    keyed = common.stash(keyed, "keyed")
+    mixed = keyed.groupBy("label", "band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("label", "band", "key", F.ceil(F.col("n") / crowd).alias("blocks"))
+    dealt = keyed.join(mixed, ["label", "band", "key"]).withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = ["label", "band", "key", "one", "two"]
+    dealt = dealt.select("label", "band", "key", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "node", "class")
+
+    def parts(table: pa.Table) -> tuple:
+        _, group = np.unique(table.column("class").to_numpy(), return_inverse=True)
+        first = table.slice(0, 1).to_pylist()[0]
+        return table.column("node").to_numpy(), signatures_of(table.column("signature")), group, table.column("side").to_numpy(), first["one"] != first["two"], first["band"]
+
+    def meet(table: pa.Table) -> pa.Table:
+        _, sig, group, side, halves, band = parts(table)
+        hit = np.zeros(len(sig), bool)
+        for y, near in across(sig, lambda: group, side, halves, band, need):
+            hit[y] = hit[near] = True
+        return table.select([*place, "side", "node", "class"]).filter(pa.array(hit))
+
+    def verify(table: pa.Table) -> pa.Table:
+        node, sig, group, side, halves, band = parts(table)
+        sets, unions = Weighted(lowered(table.column("text").combine_chunks()), idf), Unions(group.max() + 1)
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for y, near in across(sig, lambda: unions.over[group], side, halves, band, need):
+            linked = near[sets.jaccard(y, near) >= similarity]
+            if len(linked):
+                unions.join(group[y], group[linked])
+                u.append(node[linked])
+                v.append(np.full(len(linked), node[y]))
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    kind = "label long, band int, key long, one long, two long, side long, node long, class long"
+    signed = dealt.join(own.select("node", "signature"), "node")
+    hit = common.stash(signed.groupBy(*place).applyInArrow(meet, kind), "borders")
+    texts = hit.join(large.select("node", "signature", "text"), "node")
+    return common.stash(texts.groupBy(*place).applyInArrow(verify, "u long, v long"), "links")
+
+
 def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0.5, crowd: int = 2000, hubs: int = 16, rounds: int = 6) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and node (a hash of the text) of each row of ``doc_id, text``.
 
     Classes are components of links: equal texts, and texts whose weighted
     Jaccard similarity is at least ``similarity``.  A link is found unless all
     bands miss it (9e-5 at 0.8, less above) or less than ``agreement`` of the
-    samples agree (1e-5).  In components of more than ``crowd`` candidates, two
-    texts that were each linked to another central text aren't compared.
+    samples agree (1e-5).  In components of more than ``crowd`` candidates hubs
+    make classes first, and then texts of different classes are held against
+    each other where they have a band in common.
 
     Null text is an empty text; texts without words are only grouped with equal
     ones.  Rows without doc_id take part; if a class has no doc_id, class_id is
@@ -406,6 +482,7 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0
         samples_of = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.hex(F.substring("signature", i * 4 + 1, F.lit(4))))
         large = common.stash(large.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / crowd))).withColumn("samples", samples_of), "large")
         links = large_links(large, idf, similarity, need, crowd, hubs, rounds)
+        links = links.unionByName(border_links(large, texts.select("node", "bands"), links, idf, similarity, need, crowd))
         classes = small.unionByName(components(links).select("node", F.col("label").alias("class")))
     classes = common.stash(classes, "classes")
     known = texts.select("node", "first_doc").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))

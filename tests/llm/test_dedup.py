@@ -165,6 +165,16 @@ def test_op5_brute_force(spark, options):
         assert not ids or k == min(ids)
 
 
+def test_op5_chain_in_a_crowd(spark):
+    """Revisions of which only neighbours are alike: links across the hubs' classes make them one."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(100 + 200)]
+    rows = [(k, " ".join(words[k : k + 100])) for k in range(200)]
+    for crowd in (2000, 4):
+        got = neardup.near_duplicates(docs(spark, rows), crowd=crowd, hubs=4, rounds=20).collect()
+        assert len(got) == 200 and {r.class_id for r in got} == {0}, crowd
+
+
 def test_op5_empty(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
