@@ -31,16 +31,33 @@ TEMPLATES = {
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "GPL-2.0-line": "Licensed under the GPL, version 2.",
+    "LGPL-line": "Licensed under the GNU Lesser General Public License.",
+    "AGPL-line": "Licensed under the GNU Affero General Public License.",
     "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "BSD-line": "Distributed under the BSD 3-Clause License.",
+    "BSD-2-line": "Distributed under the BSD 2-Clause License.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, version 2.0.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "ISC-line": "Released under the ISC License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC0-line": "Licensed under CC0 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense-line": "This software is released under the Unlicense.",
     "Proprietary": "All rights reserved.",
 }
 

@@ -131,3 +131,13 @@ def test_op7_plain_version(spark):
     want = {i: p for i, t in enumerate(texts) if t and (p := plain_licenses(t))}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in got)
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_op7_lines_of_the_tables(spark):
+    lines = ["This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0."]
+    short = ["Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "Licensed under CC BY-NC-ND 4.0", "Licensed under CC0 1.0", "Licensed under the Mozilla Public License, version 2.0", "Released under the ISC License", "Licensed under the GNU Lesser General Public License"]
+    best: dict = {}
+    for r in licenses.scan_licenses(docs(spark, [(i, f"some words\n{t}\nother words") for i, t in enumerate(lines + short)])).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (0, "")), (r.dice, r.license))
+    assert best.keys() == set(range(len(lines + short))) and all(d == 1 for d, _ in best.values())
+    assert [best[i][1] for i in (3, 5, 7)] == ["CC-BY-NC-4.0-line", "CC-BY-4.0-line", "CC-BY-NC-ND-4.0-line"]
