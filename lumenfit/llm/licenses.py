@@ -1,7 +1,8 @@
 """License scans (operator 7): Dice coefficient over word bigrams.
 
 Stretches of whole lines of a text are compared with licence templates, both
-normalised to lower-case words.  Dice of two sets of a and b bigrams can't reach
+normalised to lower-case words; a template that no stretch of lines reaches is
+looked for in stretches of words, wherever they begin and end.  Dice of two sets of a and b bigrams can't reach
 t unless t / (2 - t) <= a / b <= (2 - t) / t, so a stretch meets only templates
 of about its size; and it shares at least t / (2 - t) of a template's bigrams,
 so it holds one of the template's *anchor* words.  Texts without anchors are
@@ -80,13 +81,14 @@ class TemplateIndex:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.threshold, self.grams = threshold, {k: g for k, v in templates.items() if (g := bigrams(words(v)))}
         least = threshold / (2 - threshold)
-        self.sizes = {k: (least * len(g), len(g) / least) for k, g in self.grams.items()}
+        # a little wider, so that rounding doesn't lose a stretch at the bound itself
+        self.sizes = {k: (least * len(g) - 1e-9, len(g) / least + 1e-9) for k, g in self.grams.items()}
         self.most = max((hi for _, hi in self.sizes.values()), default=0)
         often = Counter(w for g in self.grams.values() for w in {x for p in g for x in p})
         self.anchors: set[str] = set()
         for g in self.grams.values():  # words that touch so many bigrams that too few are left without them
             left = set(g)
-            while len(left) >= least * len(g):
+            while len(left) >= least * len(g) - 1e-9:
                 by = Counter(w for p in left for w in set(p))
                 word = min(by, key=lambda w: (w not in self.anchors, len(w) < 4, -by[w], often[w], w))
                 self.anchors.add(word)
@@ -98,7 +100,7 @@ class TemplateIndex:
                 self.touch.setdefault(p, []).append(k)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, Dice, start, end) of each template's best stretch of lines; start and end are code points."""
+        """(template, Dice, start, end) of each template's best stretch of lines, or else of words; start and end are code points."""
         lines, at = [], 0
         for line in text.split("\n"):
             ws = words(line)
@@ -124,14 +126,49 @@ class TemplateIndex:
                     lo, hi = self.sizes[k]
                     if lo <= len(got) <= hi and (d := dice(got, self.grams[k])) >= self.threshold and d > best.get(k, (0.0, 0, 0))[0]:
                         best[k] = (d, start, lines[j][1])
+        self.inside(text, best)
         return [(k, *v) for k, v in sorted(best.items())]
 
+    def inside(self, text: str, best: dict[str, tuple[float, int, int]]) -> None:
+        """Adds the best stretch of words of each template that no stretch of lines reaches.
+
+        A best stretch begins and ends with bigrams of its template, and holds
+        neither its first nor its last one twice.
+        """
+        ws = [(w, m.start(), m.end()) for m in WORD.finditer(text) for w in words(m[0])]
+        pairs = [(a[0], b[0]) for a, b in zip(ws, ws[1:], strict=False)]
+        at: dict[str, list[int]] = {}
+        for i, p in enumerate(pairs):
+            for k in self.touch.get(p, ()):
+                if k not in best:
+                    at.setdefault(k, []).append(i)
+        for k, starts in at.items():
+            g, (lo, hi) = self.grams[k], self.sizes[k]
+            if len({pairs[i] for i in starts}) < lo:  # as many bigrams must be shared
+                continue
+            for i in starts:
+                got: set = set()
+                met = 0
+                for j in range(i, len(pairs)):
+                    p = pairs[j]
+                    if p in got:
+                        if p == pairs[i]:
+                            break
+                        continue
+                    got.add(p)
+                    if len(got) > hi:
+                        break
+                    if p in g:
+                        met += 1
+                        if (d := 2 * met / (len(got) + len(g))) >= self.threshold and d > best.get(k, (0.0, 0, 0))[0]:
+                            best[k] = (d, ws[i][1], ws[j + 1][2])
+
 
 FOUND = "doc_id long, license string, dice double, start long, end long"
 
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """One row for each document and template whose best stretch of lines reaches ``threshold``.
+    """One row for each document and template whose best stretch of lines, or else of words, reaches ``threshold``.
 
     ``df`` has doc_id and text; further columns are not read.  Null and empty
     texts, and templates of less than two words, match nothing.  Repeated rows

@@ -141,3 +141,31 @@ def test_op7_lines_of_the_tables(spark):
         best[r.doc_id] = max(best.get(r.doc_id, (0, "")), (r.dice, r.license))
     assert best.keys() == set(range(len(lines + short))) and all(d == 1 for d, _ in best.values())
     assert [best[i][1] for i in (3, 5, 7)] == ["CC-BY-NC-4.0-line", "CC-BY-4.0-line", "CC-BY-NC-ND-4.0-line"]
+
+
+def test_op7_inside_lines(spark):
+    mit, flat = licenses.TEMPLATES["MIT"], " ".join(f"word{i}" for i in range(200))
+    texts = {"Copyright 2021 Acme Corp. All rights reserved.": "Proprietary", "(c) 2020 Acme. Released under the MIT License.": "MIT-line", "This project is released under the MIT License, see there.": "MIT-line", f"{flat} {mit} {flat}": "MIT"}
+    got = {(r.doc_id, r.license): r for r in licenses.scan_licenses(docs(spark, enumerate(texts))).collect()}
+    assert got.keys() == set(enumerate(texts.values())) and all(r.dice == 1 for r in got.values())
+    words = [licenses.words(t[got[i, k].start : got[i, k].end]) for i, (t, k) in enumerate(texts.items())]
+    assert words == [licenses.words(licenses.TEMPLATES[k]) for k in texts.values()]
+
+
+def test_op7_all_stretches_of_words():
+    import random
+
+    rng, index = random.Random(5), licenses.TemplateIndex(licenses.TEMPLATES, 0.8)
+    for k in range(60):
+        ws = [w for t in rng.sample(sorted(licenses.TEMPLATES.values(), key=len)[:20], 2) for w in licenses.words(t) if rng.random() > 0.05]
+        ws = ["odd", *ws[: rng.randrange(4, 40)], "end"]
+        want: dict = {}
+        for i in range(len(ws)):
+            for j in range(i + 2, len(ws) + 1):
+                for name, g in index.grams.items():
+                    d = licenses.dice(licenses.bigrams(ws[i:j]), g)
+                    if d >= 0.8:
+                        want[name] = max(want.get(name, 0), d)
+        best: dict = {}
+        index.inside(" ".join(ws), best)
+        assert {n: b[0] for n, b in best.items()} == pytest.approx(want), ws
