@@ -39,6 +39,8 @@ SIDE = SPAN - GRAM  # windows that a gram can be in, less one
 LAST = (1 << 63) - 1  # stands for a missing doc_id
 #: Bytes hashed at once, and bytes of text whose entries leave together.
 BATCH, BLOCK = 1 << 20, 8 << 20
+#: A longer text is cut into pieces; positions of anchors have 24 bits.
+PIECE = 1 << 23
 
 ENTRY = np.dtype([("gram", "<u4"), ("left", "<u2"), ("right", "<u2"), ("context", "<u8"), ("at", "<u4"), ("windows", "u1"), ("gap", "u1"), ("doc", "<i8"), ("row", "<u8")])
 MARK = np.dtype([("doc", "<i8"), ("row", "<u8"), ("start", "<u4"), ("end", "<u4"), ("bucket", "<i8"), ("gram", "<u4"), ("kind", "u1"), ("gap", "u1")])
@@ -89,10 +91,14 @@ def batches_of(texts: list[bytes], most: int) -> Iterator[tuple[int, np.ndarray,
 def entries(docs: np.ndarray, rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     whole, out = [], []
     for k, raw, starts, ends in batches_of(texts, BATCH):
-        w, e, text = anchors(raw, starts, ends)
-        e["doc"], e["row"] = docs[k + text], rows[k + text]
-        whole.append(w)
-        out.append(e)
+        # only a text that stands alone has several pieces; each window lies in one
+        for first in range(0, len(raw), PIECE):
+            to = first + PIECE + SPAN - 1
+            w, e, text = anchors(raw[first:to], np.maximum(starts - first, 0), np.minimum(ends, to) - first)
+            e["at"] += first
+            e["doc"], e["row"] = docs[k + text], rows[k + text]
+            whole.append(w)
+            out.append(e)
     return (np.concatenate(whole), np.concatenate(out)) if out else (np.empty(0, np.uint64), np.empty(0, ENTRY))
 
 

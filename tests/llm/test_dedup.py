@@ -61,6 +61,32 @@ def test_op2_brute_force(spark, options):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got), key=str) == brute_substrings(rows)
 
 
+def test_op2_pieces(monkeypatch):
+    """Windows of a text cut into pieces have the anchors that they have in the whole text."""
+    rng = np.random.default_rng(1)
+    text = bytes(rng.integers(97, 100, 3000).astype(np.uint8))
+
+    def windows():
+        whole, e = substrings.entries(np.array([1]), np.array([2], np.uint64), [text])
+        return sorted((int(x["at"]) + k, int(x["at"]) + int(x["gap"]), int(w)) for w, x in zip(whole, e, strict=True) for k in range(int(x["windows"]) + 1))
+
+    want = windows()
+    assert [w[0] for w in want] == list(range(3000 - substrings.SPAN + 1))
+    for piece in (1000, 777, 64):
+        monkeypatch.setattr(substrings, "PIECE", piece)
+        assert [w[::2] for w in windows()] == [w[::2] for w in want] and windows() == want
+
+
+def test_op2_text_over_16_mib(spark):
+    rng = np.random.default_rng(2)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    early, late = letters(300), letters(300)
+    long = "A" + letters(1 << 20) + "B" + early + "C" + letters(16 << 20) + "D" + late + "E"
+    rows = [(1, early + "1"), (2, late + "2"), (3, long)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(docs(spark, rows)).drop("kept").collect()}
+    assert got == {1: (301, 0, 0), 2: (301, 0, 0), 3: (len(long), 600, 2)}
+
+
 def test_op2_empty(spark):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
