@@ -411,5 +411,5 @@ def canonical_workflow(spark, sf):
     p = parts(spark, sf)
     x = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *XS)
     y = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *YS)
-    run = workflow.run_canonical_workflow(x("train"), y("train"), x("test"), y("test"), keys=KEY, dataset_tag="orders", alphas=20, n_boot=20, bootstrap_sample_size=500)
+    run = workflow.run_canonical_workflow(x("train"), y("train"), x("test"), y("test"), keys=KEY, dataset_tag="orders", alphas=20)
     return rounded(run.artifacts["nrmse_summary"].select("point_estimate", "ci_lower", "ci_upper", "k_used", "holdout_rows", "n_features"), 6)

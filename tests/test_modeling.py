@@ -201,3 +201,28 @@ def test_workflow_and_bundle(spark, tmp_path):
     with pytest.raises(ValueError, match="n_outputs"):
         bundle.write_postfit_bundle(broken, str(tmp_path / "no"))
     assert not (tmp_path / "no").exists()
+
+
+def test_canonical_query_draws_all_rows(spark):
+    """1000 replicates of all holdout rows, by hand."""
+    import hashlib
+    import os
+
+    from lumenfit.plans import queries as q
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    rows = q.parts(spark, data).select("o_orderkey", *q.XS, *q.YS, "partition").collect()
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    of = lambda k: np.array([[float(x) for x in r[1:5]] for r in sorted((r for r in rows if r.partition == k), key=lambda r: (md5(f"0|{r.o_orderkey}"), r.o_orderkey))])
+    train, test = of("train"), of("test")
+    n = len(test)
+    one = lambda a: np.c_[np.ones(len(a)), a[:, :2]]
+    e2 = (test[:, 2:] - one(test) @ np.linalg.lstsq(one(train), train[:, 2:], rcond=None)[0]) ** 2
+    span = np.ptp(train[:, 2:], axis=0)
+    draws = np.array([[int(md5(f"123|{rep}|{draw}")[:8], 16) % n for draw in range(n)] for rep in range(1000)])
+    values = (np.sqrt(e2[draws].mean(axis=1)) / span).mean(axis=1)
+    got = q.canonical_workflow(spark, data).first()
+    assert got.holdout_rows == n and got.n_features == 2
+    assert [got.ci_lower, got.ci_upper] == pytest.approx(np.percentile(values, [2.5, 97.5]).tolist(), abs=2e-6)
