@@ -17,4 +17,4 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
 }
 #: Where SQL can express an operator and is quick enough on whole tables.
-ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op10_chat_format": chat.SQL}
+ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op4_decontaminate": decontam.SQL, "op10_chat_format": chat.SQL}
