@@ -179,13 +179,15 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, end_id: int, voca
     """Writes the ids of all texts, each with end_id after it, in ascending doc_id order.
 
     ``path`` gets ``blocks`` and ``codes``.  Null text is one end id; null
-    doc_ids come first; rows with the same doc_id are ordered by their ids, and
-    each is a document.  Other columns are not read.  Of an empty table no block
-    is written.
+    doc_ids come first; rows with the same doc_id (or none) are ordered by their
+    packed ids, so many of them are dealt to several tasks, and each is a
+    document.  A long text is one document of one block; it may have up to 2^29
+    ids.  Other columns are not read.  Of an empty table no block is written.
     """
     spark, wide = df.sparkSession, vocab > 1 << 16
     tokenized = common.stash(tokenize(df, tokenizer, end_id, wide), "tokens")
-    lens = code_lengths(id_counts(tokenized, vocab, wide), limit)
+    counts = id_counts(tokenized, vocab, wide)
+    lens = code_lengths(counts, limit)
     spark.createDataFrame([(bytearray(lens.tobytes()), end_id)], "lens binary, end_id int").write.parquet(f"{path}/codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +221,10 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, end_id: int, voca
         if docs:
             yield flush()
 
-    ranged = tokenized.repartitionByRange(common.shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    width = max(common.shuffle_width(spark), int(counts.sum()) // (16 * block_tokens))
+    ranged = tokenized.repartitionByRange(width, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
     ranged.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    common.discard(tokenized)
     return path
 
 
@@ -244,12 +248,16 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - doc_lens
                 absent = np.unpackbits(np.frombuffer(missing, np.uint8), count=len(ends)).astype(bool) if missing else None
                 flat = pa.py_buffer(ids.astype("<u4").tobytes())
-                for at in range(0, len(ends), 2000):
-                    to = min(at + 2000, len(ends))
+                at = 0
+                while at < len(ends):
+                    # documents of about 4 M ids, or one longer
+                    to = min(at + 2000, max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 22), side="right"))))
+                    to = min(to, len(ends))
                     off = np.r_[starts[at:to], ends[to - 1]] * 4
                     data = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((off - off[0]).astype(np.int32).tobytes()), flat.slice(int(off[0]), int(off[-1] - off[0]))])
                     doc = pa.array(np.frombuffer(raw, "<i8")[at:to], mask=None if absent is None else absent[at:to])
                     yield pa.RecordBatch.from_arrays([doc, pa.array(base[shard] + before + starts[at:to]), pa.array(doc_lens[at:to].astype(np.int64)), data], ["doc_id", "start", "n_tokens", "ids"])
+                    at = to
 
     return blocks.select("shard", "tokens_before", "doc_ids", "no_id", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

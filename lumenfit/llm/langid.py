@@ -76,29 +76,9 @@ def train(windows: np.ndarray, labels: list[str], widths=(2, 3, 4), filters: int
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            x, n = windows[pick], len(pick)
-            cols = net.columns(x)
-            resp = (cols.reshape(-1, len(net.kernel)) @ net.kernel).reshape(n, net.window, -1)
-            best = resp.argmax(axis=1)
-            top = np.take_along_axis(resp, best[:, None], 1)[:, 0] + net.bias
-            h = np.maximum(top, 0)
-            z = h @ net.out + net.out_bias
-            p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-            p[np.arange(n), y[pick]] -= 1
-            p /= n
-            grad = {"out": h.T @ p, "out_bias": p.sum(0)}
-            dh = (p @ net.out.T) * (top > 0)
-            grad["bias"] = dh.sum(0)
-            won = cols[np.arange(n)[:, None], best]  # n x filters x inputs: where the filter responded most
-            grad["kernel"] = np.einsum("nfi,nf->if", won, dh) * mask
-            back = (dh[:, :, None] * net.kernel.T[None]).reshape(n, total, widest, dim)
-            place = np.pad(x, ((0, 0), (0, widest - 1)))[np.arange(n)[:, None, None], best[:, :, None] + np.arange(widest)]
-            grad["embed"] = np.zeros_like(net.embed)
-            np.add.at(grad["embed"], place.reshape(-1), back.reshape(-1, dim))
-            grad["embed"][0] = 0
+            grad = gradients(net, windows[pick], y[pick], mask)
             step += 1
-            for name in names:
-                g = grad[name]
+            for name, g in grad.items():
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.999 * second[name] + 0.001 * g * g
                 change = rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
@@ -106,6 +86,29 @@ def train(windows: np.ndarray, labels: list[str], widths=(2, 3, 4), filters: int
     return net
 
 
+def gradients(net: ByteNet, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of windows x with labels y; mask is 1 where the kernel may differ from 0."""
+    n, (inputs, total), dim = len(x), net.kernel.shape, net.embed.shape[1]
+    widest = inputs // dim
+    cols = net.columns(x)
+    resp = (cols.reshape(-1, inputs) @ net.kernel).reshape(n, net.window, -1)
+    best = resp.argmax(axis=1)
+    top = np.take_along_axis(resp, best[:, None], 1)[:, 0] + net.bias
+    h = np.maximum(top, 0)
+    z = h @ net.out + net.out_bias
+    p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
+    p[np.arange(n), y] -= 1
+    p /= n
+    dh = (p @ net.out.T) * (top > 0)
+    won = cols[np.arange(n)[:, None], best]  # n x filters x inputs: where the filter responded most
+    back = (dh[:, :, None] * net.kernel.T[None]).reshape(n, total, widest, dim)
+    place = np.pad(x, ((0, 0), (0, widest - 1)))[np.arange(n)[:, None, None], best[:, :, None] + np.arange(widest)]
+    embed = np.zeros_like(net.embed)
+    np.add.at(embed, place.reshape(-1), back.reshape(-1, dim))
+    embed[0] = 0
+    return {"embed": embed, "kernel": np.einsum("nfi,nf->if", won, dh) * mask, "bias": dh.sum(0), "out": h.T @ p, "out_bias": p.sum(0)}
+
+
 def cut(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """All windows of the texts, padded with 0, and the number of each text."""
     n = np.array([max(1, -(-len(r) // length)) for r in raw], dtype=np.int64)
@@ -117,42 +120,53 @@ def cut(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(-1, length), n
 
 
-def sample_ids(labelled: DataFrame, per_lang: int, salts: int = 32) -> DataFrame:
-    """Ids of at most per_lang rows of each language, by hash; a language is dealt to ``salts`` groups."""
-    order = F.xxhash64("doc_id")
-    by = W.partitionBy("lang", "salt").orderBy("o", "doc_id")
-    told = labelled.select("doc_id", "lang", order.alias("o"), F.pmod(F.shiftright(order, 20), F.lit(salts)).alias("salt"))
-    return told.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(1, per_lang // salts)).select("doc_id").distinct()
+#: More languages than this are taken for a mistake in the labels; the sample that the driver gets grows with them.
+MOST_LANGUAGES = 500
+
+
+def sampled(labelled: DataFrame, per_lang: int, salts: int = 32) -> DataFrame:
+    """At most per_lang rows of each language, those with the least hashes; a language is dealt to ``salts`` groups.
+
+    Hashes alone are ordered, and rows with one hash (repeated ones) give one.
+    """
+    marked = labelled.select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("o"))
+    by = W.partitionBy("lang", "salt").orderBy("o")
+    told = marked.select("lang", "o").withColumn("salt", F.pmod(F.shiftright("o", 20), F.lit(salts)))
+    least = told.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(1, per_lang // salts)).select("o").distinct()
+    least = common.stash(least, "sample")
+    if least.count() > MOST_LANGUAGES * per_lang:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return marked.join(F.broadcast(least), "o", "left_semi").dropDuplicates(["o"])
 
 
 def training_windows(labelled: DataFrame, per_lang: int, per_doc: int, length: int) -> tuple[np.ndarray, list[str]]:
     """Windows spread over the sampled texts, and their languages."""
-    ids = F.broadcast(sample_ids(labelled, per_lang))  # at most per_lang ids of a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, text, order in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, _ = cut([text.encode()], length)
                 for k in np.unique(np.linspace(0, len(found) - 1, per_doc).astype(int)):
-                    out.append((doc_id, lang, found[k].tobytes()))
+                    out.append((order, lang, found[k].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "lang", "bytes"])
+                kinds = (pa.int64(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["o", "lang", "bytes"])
 
-    rows = labelled.join(ids, "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, bytes binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.bytes)))
+    part = sampled(labelled, per_lang).select("lang", "text", "o")
+    rows = part.mapInArrow(run, "o long, lang string, bytes binary").collect()
+    rows.sort(key=lambda r: (r.o, r.lang, bytes(r.bytes)))
     return np.array([np.frombuffer(bytes(r.bytes), np.uint8) for r in rows]).reshape(len(rows), length), [r.lang for r in rows]
 
 
-PREDICTED = "row long, lang_pred string, score double"
-
-
 def predict(df: DataFrame, net: ByteNet | None) -> DataFrame:
     """``df`` with lang_pred and score (the probability of lang_pred; 0.0 with ``und``).
 
     A text that is null or has no letter is ``und``; so is every text if nothing
-    could be learned.  Only ``text`` is read.  Columns named lang_pred or score
-    are replaced.
+    could be learned.  Of equally probable languages the first by name is taken;
+    equal texts get equal answers.  All windows of a text vote, however long it
+    is.  Only ``text`` is read; other columns stay, and those named lang_pred or
+    score are replaced.
     """
     df = df.drop("lang_pred", "score")
     fields = [*df.schema.fields]
@@ -167,8 +181,8 @@ def predict(df: DataFrame, net: ByteNet | None) -> DataFrame:
             rows = np.flatnonzero(known) if net else []
             sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
             k = 0
-            while k < len(rows):  # about 8 MB of text at once
-                to = k + max(1, int(np.searchsorted(np.cumsum(sizes[rows[k:]]), 8 << 20)))
+            while k < len(rows):  # about 2 MB of text at once
+                to = k + max(1, int(np.searchsorted(np.cumsum(sizes[rows[k:]]), 2 << 20)))
                 part = rows[k:to]
                 x, n = cut([t.encode() for t in text.take(pa.array(part)).to_pylist()], net.window)
                 mean = np.add.reduceat(net.log_probs(x), np.cumsum(n) - n, axis=0) / n[:, None]
@@ -184,7 +198,10 @@ def predict(df: DataFrame, net: ByteNet | None) -> DataFrame:
 def fit(labelled: DataFrame, per_lang: int = 384, per_doc: int = 3, length: int = 256) -> ByteNet | None:
     """The network learned from ``doc_id, text, lang`` rows; None without usable ones.
 
-    At most per_lang rows of each language are used, per_doc windows of each.
+    At most per_lang rows of each language are used, those with the least hashes,
+    and per_doc windows of each; repeated rows count once, and rows without
+    doc_id, lang or a letter don't count.  More than MOST_LANGUAGES languages are
+    an error.
     """
     usable = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = usable.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))

@@ -28,7 +28,13 @@ ROWS, BYTES = 4000, 4 << 20
 
 class LevelPacker:
     """Packs (doc_id, ids) into windows of ``size``; ``emit`` gets the pieces
-    (doc_id, start, ids, doc_tokens) of each finished window."""
+    (doc_id, start, ids, doc_tokens) of each finished window.
+
+    At most max_open windows are open at once (4 max_open size bytes).  Where
+    documents leave more unfilled, such as remainders of more than half a window
+    alone, all open windows are finished as at the end, by ``close``, and the
+    rule begins anew.
+    """
 
     def __init__(self, size: int, emit, max_open: int = 4096):
         self.size, self.emit, self.max_open = size, emit, max_open
@@ -122,7 +128,8 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2
     One row for each piece: doc_id, start (its document's ids before it),
     length, doc_tokens (with the end id), sequence_id, offset in the window, and
     the ids as little-endian unsigned 32-bit integers.  sequence_id is the
-    task's number and a counter.
+    task's number and a counter.  Windows that the sum-of-squares rule leaves
+    open, at a task's end or beyond max_open, are topped up with cut pieces.
 
     Null text counts as empty: one end id.  Null and repeated doc_ids are packed
     like others, one document a row.  Other columns are not read.  An empty

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -114,12 +115,6 @@ def test_op2_maximal_repeats():
         assert got == want
 
 
-def shingle_weights(text, idf):
-    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
-    grams = [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
-    return grams
-
-
 def near_corpus(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
@@ -137,27 +132,25 @@ def near_corpus(seed):
     return rows
 
 
-def brute_near(rows):
+def weighted_sets(rows):
+    """Shingles with TF-IDF weights, from words and counts over all rows."""
     sets = []
     for _, t in rows:
-        words = re.findall(r"[0-9a-z]+", (t or "").lower())
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
         grams: dict = {}
         for k in range(max(1, len(words) - 4) if words else 0):
             g = tuple(words[k : k + 5])
             grams[g] = grams.get(g, 0) + 1
         sets.append(grams)
-    counts = np.zeros(neardup.CELLS, np.int64)
-    cells: dict = {}
-    for _, t in rows:
-        text = (t or "").lower().encode()
-        _, sh, _ = neardup.shingles([text])
-        counts += np.bincount(neardup.cell(sh), minlength=neardup.CELLS)
-    idf = neardup.idf_steps(counts, len(rows))
-    weighted = []
-    for _, t in rows:
-        _, sh, times = neardup.shingles([(t or "").lower().encode()])
-        weighted.append(dict(zip(sh.tolist(), (times * idf[neardup.cell(sh)].astype(float)).tolist(), strict=True)))
-    assert [len(s) for s in sets] == [len(w) for w in weighted] and not cells
+    df: dict = {}
+    for grams in sets:
+        for g in grams:
+            df[g] = df.get(g, 0) + 1
+    return [{g: n * max(1, round(8 * math.log((1 + len(rows)) / (1 + df[g])))) for g, n in grams.items()} for grams in sets]
+
+
+def brute_near(rows):
+    weighted = weighted_sets(rows)
     label = list(range(len(rows)))
 
     def root(x):
@@ -178,27 +171,80 @@ def brute_near(rows):
     return sorted(sorted(map(str, g)) for g in groups.values())
 
 
-@pytest.mark.parametrize("options", [{}, {"crowd": 4, "hubs": 2, "rounds": 1}])
-def test_op5_brute_force(spark, options):
-    rows = near_corpus(3)
+def near_groups(out):
     got: dict = {}
-    out = neardup.near_duplicates(docs(spark, rows).repartition(3), **options).collect()
-    for r in out:
+    for r in out.collect():
         got.setdefault(r.class_id, []).append(str(r.doc_id))
+    return got
+
+
+@pytest.mark.parametrize("options", [{}, {"crowd": 4}, {"room": 300}, {"crowd": 1}])
+def test_op5_brute_force(spark, options):
+    rows = near_corpus(3)
+    got = near_groups(neardup.near_duplicates(docs(spark, rows).repartition(3), **options))
     assert sorted(sorted(g) for g in got.values()) == brute_near(rows)
     for k, g in got.items():
         ids = [int(x) for x in g if x != "None"]
         assert not ids or k == min(ids)
 
 
-def test_op5_chain_in_a_crowd(spark):
-    """Revisions of which only neighbours are alike: links across the hubs' classes make them one."""
+def test_op5_weights_and_signatures(spark):
+    rows = [*near_corpus(5), (700, "long " + "é word " * 60_000), (701, "ÀÉ Îx " * 30)]
+    want = sorted((str(i), sorted(w.values())) for (i, _), w in zip(rows, weighted_sets(rows), strict=True))
+    out = neardup.signed_rows(docs(spark, rows).select("doc_id", neardup.common.text_of().alias("text")).repartition(2)).collect()
+    got = sorted((str(r.doc_id), sorted(neardup.from_set_bytes(bytes(r.set))[1].tolist()) if r.set else []) for r in out)
+    assert got == want and len({r.node for r in out}) == len(rows)
+    by_text: dict = {}
+    for r in out:
+        by_text.setdefault((r.h1, r.h2), set()).add(r.signature and bytes(r.signature))
+    assert all(len(s) == 1 for s in by_text.values())
+
+
+@pytest.mark.parametrize("crowd", [2000, 4])
+def test_op5_chain_in_a_crowd(spark, crowd):
+    """Revisions of which only neighbours are alike: links across blocks make them one class."""
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(100 + 200)]
     rows = [(k, " ".join(words[k : k + 100])) for k in range(200)]
-    for crowd in (2000, 4):
-        got = neardup.near_duplicates(docs(spark, rows), crowd=crowd, hubs=4, rounds=20).collect()
-        assert len(got) == 200 and {r.class_id for r in got} == {0}, crowd
+    got = near_groups(neardup.near_duplicates(docs(spark, rows), crowd=crowd))
+    assert list(got) == [0] and len(got[0]) == 200
+
+
+def test_op5_two_hubs(spark):
+    """Two families, alike within, whose members are near each other across only; and a family apart."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(200)]
+    other = [w if k < 150 else word() for k, w in enumerate(base)]
+
+    def bent(words, n):
+        out = list(words)
+        for _ in range(n):
+            out[rng.randrange(len(out))] = word()
+        return " ".join(out)
+
+    steps = [" ".join(other[k:200] if k < 0 else [*base[: 200 - k], *other[200 - k :]]) for k in range(0, 51, 5)]
+    apart = [word() for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate([*(bent(base, k % 3) for k in range(15)), *(bent(other, k % 3) for k in range(15)), *steps, *(bent(apart, k % 2) for k in range(6))])]
+    for crowd in (2000, 3):
+        got = near_groups(neardup.near_duplicates(docs(spark, rows), crowd=crowd))
+        assert sorted(sorted(g) for g in got.values()) == brute_near(rows), crowd
+
+
+def test_op5_long_text_in_slices():
+    rng = np.random.default_rng(1)
+    text, shingle = np.array([0] * 50 + [1] * 700 + [2] * 3), rng.integers(0, 1 << 48, 753).astype(np.uint64)
+    weight, starts = rng.integers(1, 9, 753) / 2, np.flatnonzero(np.r_[True, np.diff(text) > 0])
+    want = neardup.samples(shingle, weight, starts)
+    for size in (64, 50, 700):
+        neardup.SLICE, was = size, neardup.SLICE
+        assert (neardup.samples(shingle, weight, starts) == want).all()
+        neardup.SLICE = was
+    words = b"word \xc3\xa9t\xc3\xa9 a1 " * 50
+    neardup.BATCH, was = 37, neardup.BATCH
+    cut = neardup.words_of(words)
+    neardup.BATCH = was
+    assert (cut == neardup.words_of(words)).all() and len(cut) == 150
 
 
 def test_op5_empty(spark):

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from lumenfit.llm import chat, huffman, langid, packing, tokens
 
@@ -20,10 +21,26 @@ ODD = ["a  b\n\n c ", "", "\nx", " y ", "foo\r\nbar\r\n", "it's don't  ' s", "Ü
 def test_units_equal_whole_texts(path):
     rng = random.Random(0)
     texts = ODD + ["".join(rng.choice("ab é\n\t .,'’1 ́") for _ in range(rng.randrange(40))) for _ in range(3000)]
-    enc = tokens.UnitEncoder(path, max_units=50)
-    want = [e.ids for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
-    got = [ids[ends[k] : ends[k + 1]].tolist() for _, ids, ends in enc.encode(pa.array(texts)) for k in range(len(ends) - 1)]
-    assert got == want
+    texts += ["a <|endoftext|> b", "<|startoftext|>x", "A<|ENDOFTEXT|> <|EndOfText|>", "<|endoftext|>" * 3 + "\n<|endoftext|>", "<| endoftext|>"]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any(len(w) == 1 for t, w in zip(texts, want, strict=True) if t == "<|endoftext|>" or "</s>" in t) or plain.token_to_id("<|endoftext|>") in want[ODD.index("<|endoftext|> </s>")]
+    for most in (50, 100_000):
+        enc = tokens.UnitEncoder(path, max_units=most)
+        for _ in range(2):  # the second time from the memo
+            got = [ids[ends[k] : ends[k + 1]].tolist() for _, ids, ends in enc.encode(pa.array(texts)) for k in range(len(ends) - 1)]
+            assert got == want
+
+
+def test_memo_compares_bytes():
+    memo = tokens.UnitMemo(10)
+    raw, start, end = np.frombuffer(b"abcabd", np.uint8), np.array([0, 3, 6]), np.array([3, 6, 6])
+    h, known = memo.find(raw, start, end)
+    assert (known == -1).all()
+    memo.add(h, raw, start, end, np.array([1, 2, 3], np.uint32), np.array([1, 2, 0]))
+    assert memo.find(raw, start, end)[1].tolist() == [0, 1, 2]
+    memo.raw = np.frombuffer(b"abcabx", np.uint8)  # as if hashes had collided
+    assert memo.find(raw, start, end)[1].tolist() == [0, -1, 2]
 
 
 def documents(spark, rows):
@@ -33,7 +50,7 @@ def documents(spark, rows):
 def test_op3_pieces(spark):
     rng = random.Random(2)
     rows = [(i, t) for i, t in enumerate([*ODD, None, *(" ".join(rng.choice(["the", "station", "pack", "é"]) for _ in range(rng.randrange(3000))) for _ in range(60))])] + [(None, "no id"), (3, "again")]
-    tok = tokens.load(BYTE)
+    tok = Tokenizer.from_file(BYTE)
     whole = {}
     for i, t in rows:
         whole.setdefault((i, len(ids := tok.encode(t or "", add_special_tokens=False).ids + [1])), []).append(ids)
@@ -75,13 +92,20 @@ def test_op3_level_is_the_best_one():
 
 def test_op9_round_trip(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(7 * i % 101, t) for i, t in enumerate([*ODD, None, *("".join(rng.choice(["alpha ", "beta ", "γ "]) for _ in range(rng.randrange(900))) for _ in range(40))])] + [(None, "none"), (5, "twice")]
+    rows = [(7 * i % 101, t) for i, t in enumerate([*ODD, None, "much " * 30_000, *("".join(rng.choice(["alpha ", "beta ", "γ "]) for _ in range(rng.randrange(900))) for _ in range(40))])] + [(None, "none"), (5, "twice")]
     path = huffman.write_token_file(documents(spark, rows), str(tmp_path / "t"), WORD, 2, 49408, block_tokens=500, stride=16)
     got = huffman.read_token_file(spark, path).collect()
-    tok = tokens.load(WORD)
+    tok = Tokenizer.from_file(WORD)
     want = sorted(((i is not None, i or 0), tok.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows)
     told = sorted((((r.doc_id is not None, r.doc_id or 0), np.frombuffer(bytes(r.ids), "<u4").tolist(), r) for r in got), key=lambda x: x[2].start)
     assert sorted(x[:2] for x in told) == want and [x[0] for x in told] == [w[0] for w in want]
+    # a third of the rows without doc_id, and many with one, are dealt to several tasks
+    many = [(None if i % 3 else 9, f"text number {i}") for i in range(300)]
+    hot = huffman.write_token_file(documents(spark, many), str(tmp_path / "h"), WORD, 2, 49408, block_tokens=64)
+    shards = spark.read.parquet(f"{hot}/blocks").groupBy("shard").sum("n_docs").collect()
+    back = huffman.read_token_file(spark, hot).orderBy("start").collect()
+    assert len(shards) > 2 and max(r[1] for r in shards) < 200 and [r.doc_id for r in back] == [None] * 200 + [9] * 100
+    assert [r.start for r in back] == np.cumsum([0, *(r.n_tokens for r in back)])[:-1].tolist()
     assert [x[2].start for x in told] == np.cumsum([0, *(x[2].n_tokens for x in told)])[:-1].tolist()
     empty = huffman.write_token_file(documents(spark, []), str(tmp_path / "e"), WORD, 2, 49408)
     assert huffman.read_token_file(spark, empty).count() == 0
@@ -175,3 +199,74 @@ def test_op8_learns(spark):
     assert len(right) > 60 and np.mean(right) > 0.97
     assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
     assert langid.fit(df.limit(0)) is None and {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
+
+
+def small_net(seed, langs=3, widths=(2, 3), filters=4, dim=3, window=12):
+    rng = np.random.default_rng(seed)
+    total, widest = filters * len(widths), max(widths)
+    mask = np.zeros((widest * dim, total))
+    for k, w in enumerate(widths):
+        mask[: w * dim, k * filters : (k + 1) * filters] = 1
+    embed = rng.normal(size=(256, dim))
+    embed[0] = 0
+    net = langid.ByteNet([f"l{i}" for i in range(langs)], embed, rng.normal(size=mask.shape) * mask, rng.normal(size=total), rng.normal(size=(total, langs)), rng.normal(size=langs), window)
+    return net, mask
+
+
+def plain_log_probs(net, window):
+    """Position by position, filter by filter."""
+    dim = net.embed.shape[1]
+    widest = len(net.kernel) // dim
+    padded = [*window, *[0] * (widest - 1)]
+    top = []
+    for f in range(net.kernel.shape[1]):
+        responses = [sum(net.embed[padded[i + j]][d] * net.kernel[j * dim + d, f] for j in range(widest) for d in range(dim)) for i in range(len(window))]
+        top.append(max(0.0, max(responses) + net.bias[f]))
+    z = [sum(top[f] * net.out[f, k] for f in range(len(top))) + net.out_bias[k] for k in range(len(net.langs))]
+    most = max(z)
+    return [v - most - np.log(sum(np.exp(u - most) for u in z)) for v in z]
+
+
+def test_op8_forward_against_plain():
+    net, _ = small_net(0)
+    x = np.random.default_rng(1).integers(0, 256, (9, net.window)).astype(np.uint8)
+    x[3, 5:] = 0
+    want = [plain_log_probs(net, w.tolist()) for w in x]
+    assert np.allclose(net.log_probs(x), want, atol=1e-4) and np.allclose(net.log_probs(x, rows=2), want, atol=1e-4)
+
+
+def test_op8_gradients_against_differences():
+    net, mask = small_net(2)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 256, (6, net.window)).astype(np.uint8), rng.integers(0, 3, 6)
+    loss = lambda: -np.mean([plain_log_probs(net, w.tolist())[k] for w, k in zip(x, y, strict=True)])
+    for name, grad in langid.gradients(net, x, y, mask).items():
+        value = getattr(net, name)
+        spots = [tuple(rng.integers(0, s) for s in value.shape) for _ in range(6)]
+        if name == "embed":
+            spots = [(int(x[i, i]), d) for i in range(6) for d in range(2) if x[i, i]]
+        for at in spots:
+            if name == "kernel" and not mask[at]:
+                continue
+            was = value[at]
+            value[at] = was + 1e-5
+            up = loss()
+            value[at] = was - 1e-5
+            down = loss()
+            value[at] = was
+            assert grad[at] == pytest.approx((up - down) / 2e-5, abs=1e-4), name
+
+
+def test_op8_odd_rows(spark):
+    rows = [(1, "aa bb", "x"), (1, "aa bb", "x"), (1, "cc dd", "y"), (2, "cc dd " * 200_000, "y"), (3, "aa", None), (4, None, "x")]
+    df = spark.createDataFrame([(i, t, g, 1, "s") for i, t, g in rows], "doc_id long, text string, lang string, o int, lang_pred string")
+    assert langid.sampled(df.filter("lang IS NOT NULL AND text IS NOT NULL"), 96).count() == 3  # repeated rows once
+    net = langid.fit(df)
+    got = langid.predict(df, net).collect()
+    assert len(got) == 6 and {r.lang_pred for r in got if r.text} <= {"x", "y"} and [r.lang_pred for r in got if r.text is None] == ["und"]
+    with pytest.raises(ValueError, match="languages"):
+        langid.MOST_LANGUAGES, was = 1, langid.MOST_LANGUAGES
+        try:
+            langid.fit(df, per_lang=1)
+        finally:
+            langid.MOST_LANGUAGES = was
