@@ -14,6 +14,8 @@ from lumenfit.llm import common, decontam, langid, neardup, packing, secrets
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text that no language fits clearly better than another is rejected.
 LEAST_SCORE = 0.3
+#: Rows of keys that are broadcast, after they are counted.
+MOST_BROADCAST = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,23 +26,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: that with the least doc_id (null last; ties by text, then as they come)."""
+    """Keeps one document of each class: the least by doc_id (null last), hashes of its text, lang, source and n_chars.
+
+    Repeated rows are copies of each other.  Null text is an empty text; empty
+    texts are copies.  Columns other than those of ``documents`` are left out.
+    """
+    marks = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
     classes = neardup.near_duplicates(docs.select("doc_id", "text"))
-    # the kept row of a class is known by doc_id and the hash of its text
-    best = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
-    best = best.select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), "x.none", F.col("x.node").alias("h")).distinct()
-    best = common.stash(best, "kept")
-    common.release(spark)
-    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64(common.text_of()).alias("h"))
-    # repeated rows fall together on the join's own keys, so texts are dealt once
-    keys = ["id", "none", "h"]
-    return rows.join(best, keys, "left_semi").dropDuplicates(keys).select(*COLUMNS)
+    best = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2")).alias("x"))
+    best = best.select("x.*").distinct()
+    text = common.text_of()
+    rows = docs.select(*COLUMNS, *marks, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    # repeated rows collapse before they are dealt; the join then meets texts where they are
+    keys = ["id", "none", "h1", "h2"]
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    one = rows.groupBy(*keys).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), rest)
+    return one.join(best, keys, "left_semi").select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, those without doc_id too; repeated rows go or stay together.
+
+    Null text holds nothing, and an empty benchmark drops nothing.  Columns other
+    than those of ``documents`` are left out.
+    """
     found = decontam.contaminated(docs.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    found = common.stash(found.select(*decontam.DOC).distinct(), "found")
+    text = common.text_of()
+    rows = docs.select(*COLUMNS, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    held = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+    return decontam.same(rows, held, decontam.DOC, "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +9,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary
-    folder is made, and set as the checkpoint folder for later calls.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or else the one set on the context."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfit-"))
-        found = sc.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -32,19 +25,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs whose results are written; else they stay until the driver happens to collect garbage."""
-    import gc
-    import time
 
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.5)  # the gateway lets go of dropped objects in a thread that looks once a second
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)  # for Spark's cleaner, which works in the background
+def discard(*stashes: DataFrame) -> None:
+    """Deletes stashed tables; only for ones that no DataFrame still to be computed reads."""
+    for df in stashes:
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(df._stash_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

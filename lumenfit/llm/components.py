@@ -27,14 +27,19 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label (the least node of its component) of all nodes of edges (u, v long); loops and repeats do no harm."""
+    """node, label (the least node of its component) of all nodes of edges (u, v long); loops and repeats do no harm.
+
+    Rounds are at most of the order of the logarithm of the nodes' number; not
+    to have ended after ``rounds`` of them is an error.
+    """
     now = common.stash(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
-        now = common.stash(_small(_large(now)), "edges")
+        was, now = now, common.stash(_small(_large(now)), "edges")
+        common.discard(was)
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
-            break
+            labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return labels.union(now.select("v", "v").distinct())
         before = mark
-    labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.union(now.select("v", "v").distinct())
+    raise RuntimeError(f"components haven't settled after {rounds} rounds")

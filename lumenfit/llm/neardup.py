@@ -1,11 +1,12 @@
 """Near-duplicates by improved consistent weighted sampling (operator 5).
 
-Texts are multisets of five-word shingles weighted by TF-IDF.  Document
-frequencies of all rows are counted in a sketch of fixed size.  Each text gets a
-signature of consistent weighted samples (Ioffe 2010), whose probability of
-agreement is the weighted Jaccard similarity.  Bands of samples propose
-candidates, signatures thin them out, and links are verified by the exact
-weighted Jaccard similarity inside each component of candidates.
+Texts are multisets of five-word shingles weighted by TF-IDF; document
+frequencies are counted exactly, over all rows.  Each text gets a signature of
+consistent weighted samples (Ioffe 2010), whose probability of agreement is the
+weighted Jaccard similarity.  Bands of samples propose candidates, signatures
+thin them out, and links are verified by the exact weighted Jaccard similarity:
+first inside blocks of candidates, then between the classes that blocks have
+left apart.
 """
 
 from __future__ import annotations
@@ -14,42 +15,50 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from lumenfit.llm import common
+from lumenfit.llm import common, packs
 from lumenfit.llm.bytehash import BYTES, Spans, U, mix, ragged
 from lumenfit.llm.components import components
 
 WORDS = 5
-BITS = 44  # of a shingle's hash
-CELLS = 1 << 22  # of the sketch
-SLICES = 64
+BITS = packs.BITS  # of a shingle's hash
 BANDS, ROWS = 13, 3
 SAMPLES = BANDS * ROWS
-BATCH = 1 << 20
+#: Bytes of text, and shingles, that are looked at together.
+BATCH, SLICE = 1 << 18, 1 << 16
 IN_WORD = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 IN_WORD[128:] = True
 SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) << U(32))
 
 
-def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, shingle, times) of lower-case texts, sorted; words are runs of letters, digits and non-ASCII bytes.
+def words_of(text: bytes) -> np.ndarray:
+    """Hashes of the words of a lower-case text: runs of letters, digits and non-ASCII bytes."""
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(text):
+        to = at + BATCH
+        while to < len(text) and IN_WORD[text[to]]:  # a cut stands behind a word
+            to += 1
+        raw = np.frombuffer(text, np.uint8, min(to, len(text)) - at, at)
+        edge = np.flatnonzero(np.diff(np.r_[False, IN_WORD[raw], False].astype(np.int8)))
+        out.append(Spans(BYTES[raw]).of(edge[::2], edge[1::2]))
+        at = to
+    return np.concatenate(out)
 
-    A text of one to four words is one shingle.
-    """
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    inside = IN_WORD[raw]
-    edge = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
-    first, last = edge[::2], edge[1::2]
-    text = np.searchsorted(ends, first, side="right")
-    word = Spans(BYTES[raw]).of(first, last)
-    row = Spans(word)
-    n = len(word)
-    whole = row.all(WORDS)[: max(0, n - WORDS + 1)] if n >= WORDS else np.empty(0, np.uint64)
+
+def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle, times) of at most 2^14 lower-case texts, sorted; a text of one to four words is one shingle."""
+    own = [words_of(t) for t in texts] if sum(map(len, texts)) > BATCH else None
+    if own is None:  # short texts at once
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        edge = np.flatnonzero(np.diff(np.r_[False, IN_WORD[raw]].astype(np.int8)))
+        word = Spans(BYTES[raw]).of(edge[::2], edge[1::2])
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), edge[::2], side="right")
+    else:
+        word, text = np.concatenate(own), np.repeat(np.arange(len(own)), [len(w) for w in own])
+    row, n = Spans(word), len(word)
+    whole = row.all(WORDS) if n >= WORDS else np.empty(0, np.uint64)
     same = text[: len(whole)] == text[WORDS - 1 :] if len(whole) else np.empty(0, bool)
     count = np.bincount(text, minlength=len(texts))
     few = np.flatnonzero((count > 0) & (count < WORDS))
@@ -59,41 +68,49 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (keys >> U(BITS)).astype(np.int64), keys & U((1 << BITS) - 1), times
 
 
-def cell(shingle: np.ndarray) -> np.ndarray:
-    return (shingle & U(CELLS - 1)).astype(np.int64)
-
-
 def samples(shingle: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """texts x SAMPLES of 32 bits: one consistent weighted sample for each seed."""
-    sizes = np.diff(np.r_[starts, len(shingle)])
-    out = np.empty((len(starts), SAMPLES), np.uint32)
-    log_w = np.log(weight)
-    unit = 2.0**-21
-    low = U((1 << 21) - 1)
-    number = np.repeat(np.arange(len(starts)), sizes)
-    for k, seed in enumerate(SEEDS):
-        a = mix(shingle ^ seed)
-        b = mix(a + U(0x9E3779B97F4A7C15))
-        part = lambda z, s: ((z >> U(s)) & low).astype(np.float64) * unit + unit / 2
-        r = -np.log(part(a, 0) * part(a, 21))  # Gamma(2, 1)
-        beta = (a >> U(42)).astype(np.float64) * 2.0**-22
-        t = np.floor(log_w / r + beta)
-        value = np.log(-np.log(part(b, 0) * part(b, 21))) - r * (t - beta + 1)
-        least = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, starts), sizes))
-        owner = number[least]
-        pick = least[np.r_[True, owner[1:] != owner[:-1]]]
-        out[:, k] = mix(shingle[pick] ^ (t[pick].astype(np.int64).view(np.uint64) * U(0xD1342543DE82EF95))) >> U(32)
+    best = np.full((len(starts), SAMPLES), np.inf)
+    out = np.zeros((len(starts), SAMPLES), np.uint32)
+    unit, low = 2.0**-21, U((1 << 21) - 1)
+    part = lambda z, s: ((z >> U(s)) & low).astype(np.float64) * unit + unit / 2
+    for lo in range(0, len(shingle), SLICE):  # a text may lie in several slices
+        x, log_w = shingle[lo : lo + SLICE], np.log(weight[lo : lo + SLICE])
+        one, two = np.searchsorted(starts, [lo, lo + len(x) - 1], side="right") - 1
+        first = np.maximum(starts[one : two + 1] - lo, 0)
+        number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
+        for k, seed in enumerate(SEEDS):
+            a = mix(x ^ seed)
+            b = mix(a + U(0x9E3779B97F4A7C15))
+            r = -np.log(part(a, 0) * part(a, 21))  # Gamma(2, 1)
+            beta = (a >> U(42)).astype(np.float64) * 2.0**-22
+            t = np.floor(log_w / r + beta)
+            value = np.log(-np.log(part(b, 0) * part(b, 21))) - r * (t - beta + 1)
+            top = np.minimum.reduceat(value, first)
+            least = np.flatnonzero(value == top[number])
+            pick = least[np.r_[True, np.diff(number[least]) > 0]]
+            got = mix(x[pick] ^ (t[pick].astype(np.int64).view(np.uint64) * U(0xD1342543DE82EF95))) >> U(32)
+            here = top < best[one : two + 1, k]
+            out[one : two + 1, k][here] = got[here]
+            best[one : two + 1, k] = np.minimum(best[one : two + 1, k], top)
     return out
 
 
-def lowered(text: pa.Array) -> list[bytes]:
-    return pc.utf8_lower(text).cast(pa.binary()).to_pylist()
+def idf_steps(counts: np.ndarray, rows: int) -> np.ndarray:
+    """Inverse document frequency in eighths, at least one."""
+    return np.clip(np.round(8 * np.log((1 + rows) / (1 + counts))), 1, 255).astype(np.uint8)
+
+
+def frequencies(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many rows hold each hash; several packs may have sent it."""
+    _, same = np.unique(hashes, return_inverse=True)
+    return np.bincount(same, rows)[same]
 
 
-def in_batches(texts: list[bytes], most: int = BATCH) -> Iterator[tuple[int, list[bytes]]]:
+def parts_of(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     at = size = 0
     for k, t in enumerate(texts):
-        if k > at and size + len(t) > most:
+        if k > at and size + len(t) > BATCH:
             yield at, texts[at:k]
             at, size = k, 0
         size += len(t)
@@ -101,47 +118,51 @@ def in_batches(texts: list[bytes], most: int = BATCH) -> Iterator[tuple[int, lis
         yield at, texts[at:]
 
 
-def sketch(texts: DataFrame) -> np.ndarray:
-    """How many rows of ``text`` hold a shingle of each cell; an array of fixed size, whatever the input."""
-    step = CELLS // SLICES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for _, part in in_batches(lowered(batch.column(0))):
-                total += np.bincount(cell(shingles(part)[1]), minlength=CELLS)
-        at, data = [], []
-        for s in range(SLICES):
-            part = total[s * step : (s + 1) * step]
-            if part.any():
-                # a byte for each cell, and what doesn't fit in one
-                over = np.flatnonzero(part > 255)
-                at.append(s)
-                data.append(np.minimum(part, 255).astype(np.uint8).tobytes() + over.astype("<u4").tobytes() + (part[over] - 255).astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(data, pa.binary())], ["slice", "data"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                into, n = total.setdefault(s, np.zeros(step, np.int64)), (len(data) - step) // 12
-                into += np.frombuffer(data, np.uint8, step)
-                into[np.frombuffer(data, "<u4", n, step)] += np.frombuffer(data, "<u8", n, step + 4 * n).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype("<u8").tobytes() for v in total.values()], pa.binary())], ["slice", "data"])
-
-    kind = "slice long, data binary"
-    out = np.zeros(CELLS, np.int64)
-    for r in texts.select("text").mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(merge, kind).collect():
-        out[r.slice * step : (r.slice + 1) * step] = np.frombuffer(bytes(r.data), "<u8").astype(np.int64)
-    return out
+def set_bytes(shingle: np.ndarray, step: np.ndarray, times: np.ndarray) -> bytes:
+    """A weighted set: shingles as planes, then IDF steps, then (place, times) of what stands there more than once."""
+    more = np.flatnonzero(times > 1)
+    return np.array([len(shingle)], "<u4").tobytes() + packs.planes(shingle) + step.tobytes() + more.astype("<u4").tobytes() + times[more].astype("<u4").tobytes()
 
 
-def idf_steps(counts: np.ndarray, rows: int) -> np.ndarray:
-    """Inverse document frequency in eighths, at least one; cells are shared, so what is rare counts as its cell."""
-    return np.clip(np.round(8 * np.log((1 + rows) / (1 + counts))), 1, 255).astype(np.uint8)
+def from_set_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and weights."""
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    at = 4 + n * BITS // 8
+    weight = np.frombuffer(data, np.uint8, n, at).astype(np.float64)
+    more = np.frombuffer(data, "<u4", offset=at + n).reshape(2, -1)
+    weight[more[0]] *= more[1]
+    return packs.from_planes(data[4:at], n), weight
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 50_000) -> Iterator[pa.Table]:
+class Weighted:
+    """Weighted shingle sets, side by side."""
+
+    def __init__(self, sets: list[bytes]):
+        both = [from_set_bytes(s) for s in sets]
+        self.shingle = np.concatenate([b[0] for b in both] or [np.empty(0, np.uint64)])
+        self.weight = np.concatenate([b[1] for b in both] or [np.empty(0)])
+        self.start = np.r_[0, np.cumsum([len(b[0]) for b in both], dtype=np.int64)].astype(np.int64)
+        self.total = np.array([b[1].sum() for b in both])
+
+    def jaccard(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of set x to others, some at a time."""
+        mine, w = self.shingle[self.start[x] : self.start[x + 1]], self.weight[self.start[x] : self.start[x + 1]]
+        out = np.zeros(len(others))
+        sizes = self.start[others + 1] - self.start[others]
+        at = 0
+        while len(mine) and at < len(others):
+            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 1 << 20)))
+            some, size = others[at:to], sizes[at:to]
+            where = ragged(self.start[some], size)
+            their = self.shingle[where]
+            k = np.minimum(np.searchsorted(mine, their), len(mine) - 1)
+            met = np.bincount(np.repeat(np.arange(len(some)), size), np.where(mine[k] == their, np.minimum(w[k], self.weight[where]), 0.0), len(some))
+            out[at:to] = met / (self.total[x] + self.total[some] - met)
+            at = to
+        return out
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 20_000) -> Iterator[pa.Table]:
     """Tables of whole groups of rows that come sorted by keys."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -153,11 +174,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 50
         if size < most:
             continue
         table = pa.Table.from_batches(held)
-        new = np.zeros(table.num_rows, bool)
-        for k in keys:
-            c = table.column(k).to_numpy()
-            new[1:] |= c[1:] != c[:-1]
-        at = np.flatnonzero(new)
+        at = group_starts(table, keys)[1:]
         if len(at):
             yield table.slice(0, at[-1]).combine_chunks()
             table = table.slice(at[-1])
@@ -179,75 +196,14 @@ def signatures_of(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SAMPLES)
 
 
-def propose(members: DataFrame, least: float) -> DataFrame:
-    """(key, u, v) links of bucket members (key, salt, node, signature) to leaders; a leader links to itself.
+def searched(sig: np.ndarray, need: int, linked: Callable[[int, np.ndarray], np.ndarray] = lambda y, near: near) -> np.ndarray:
+    """For each text the first one of its class: a search from text to text over links, each pair looked at once at most.
 
-    In each bucket the first member leads; who agrees with it in ``least`` of
-    the samples is linked.  The first of the others leads next, over all.
+    linked(text, others that agree with it in ``need`` samples) picks those with a link.
     """
-    need = int(np.ceil(least * SAMPLES))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, ["key", "salt"]):
-            start = group_starts(table, ["key", "salt"])
-            size = np.diff(np.r_[start, table.num_rows])
-            node, key, sig = table.column("node").to_numpy(), table.column("key").to_numpy(), signatures_of(table.column("signature"))
-            free = np.ones(len(node), bool)
-            out: list[tuple] = []
-            while len(start):
-                # each group's first free member
-                at = ragged(start, size)
-                number = np.repeat(np.arange(len(start)), size)
-                open_ = np.flatnonzero(free[at])
-                lead = open_[np.r_[True, number[open_][1:] != number[open_][:-1]]] if len(open_) else open_
-                alive = number[lead]
-                start, size, lead = start[alive], size[alive], at[lead]
-                if not len(start):
-                    break
-                at, head = ragged(start, size), np.repeat(lead, size)
-                near = ((sig[at] == sig[head]).sum(axis=1) >= need) | (at == head)
-                free[at[near]] = False
-                out.append((key[at[near]], node[at[near]], node[head[near]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["key", "u", "v"])
-
-    sorted_ = members.repartition(common.shuffle_width(members.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", F.xxhash64("node", "key"))
-    return sorted_.mapInArrow(run, "key long, u long, v long")
-
-
-class Weighted:
-    """Weighted shingle sets of some texts, side by side."""
-
-    def __init__(self, texts: list[bytes], idf: np.ndarray):
-        found = [(at, *shingles(part)) for at, part in in_batches(texts)]
-        empty = [np.empty(0, np.int64)]
-        self.text = np.concatenate([f[0] + f[1] for f in found] or empty)
-        self.shingle = np.concatenate([f[2] for f in found] or [np.empty(0, np.uint64)])
-        self.weight = np.concatenate([f[3] for f in found] or empty) * idf[cell(self.shingle)].astype(np.float64)
-        self.start = np.searchsorted(self.text, np.arange(len(texts) + 1))
-        self.total = np.bincount(self.text, self.weight, len(texts))
-
-    def jaccard(self, x: int, others: np.ndarray, of: Weighted | None = None) -> np.ndarray:
-        """Weighted Jaccard similarity of text x (of ``of``) to others."""
-        src = of or self
-        a, b = src.start[x], src.start[x + 1]
-        mine, w = src.shingle[a:b], src.weight[a:b]
-        size = self.start[others + 1] - self.start[others]
-        at = ragged(self.start[others], size)
-        if not len(at) or not len(mine):
-            return np.zeros(len(others))
-        their = self.shingle[at]
-        k = np.minimum(np.searchsorted(mine, their), len(mine) - 1)
-        both = np.where(mine[k] == their, np.minimum(w[k], self.weight[at]), 0.0)
-        met = np.bincount(np.repeat(np.arange(len(others)), size), both, len(others))
-        return met / (src.total[x] + self.total[others] - met)
-
-
-def classes_in(sets: Weighted, sig: np.ndarray, similarity: float, need: int) -> np.ndarray:
-    """For each text the first one of its class: a search from text to text over links, each pair looked at once at most."""
-    n = len(sig)
-    label = np.full(n, -1)
-    free = np.arange(n)
-    for x in range(n):
+    label = np.full(len(sig), -1)
+    free = np.arange(len(sig))
+    for x in range(len(sig)):
         if label[x] >= 0:
             continue
         label[x] = x
@@ -256,72 +212,63 @@ def classes_in(sets: Weighted, sig: np.ndarray, similarity: float, need: int) ->
         while queue and len(free):
             y = queue.pop()
             near = free[(sig[free] == sig[y]).sum(axis=1) >= need]
-            linked = near[sets.jaccard(y, near) >= similarity] if len(near) else near
-            label[linked] = x
-            queue += linked.tolist()
+            if not len(near):
+                continue
+            found = linked(y, near)
+            label[found] = x
+            queue += found.tolist()
             free = free[label[free] < 0]
     return label
 
 
-def compared(members: DataFrame, queries: DataFrame, idf: np.ndarray, similarity: float, need: int) -> DataFrame:
-    """Links (u, v) of members (label, salt, node, signature, text) to queries (same columns) of the same group."""
+def proposed(texts: DataFrame, need: int, crowd: int) -> DataFrame:
+    """(u, v) links that bring candidates together, from texts (node, signature, bands).
 
-    def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if table.num_rows and asked.num_rows:
-            sets, theirs = (Weighted(lowered(t.column("text").combine_chunks()), idf) for t in (table, asked))
-            sig, q_sig = signatures_of(table.column("signature")), signatures_of(asked.column("signature"))
-            node, q_node = table.column("node").to_numpy(), asked.column("node").to_numpy()
-            for k in range(asked.num_rows):
-                near = np.flatnonzero((sig == q_sig[k]).sum(axis=1) >= need)
-                near = near[sets.jaccard(k, near, theirs) >= similarity] if len(near) else near
-                u.append(node[near])
-                v.append(np.full(len(near), q_node[k]))
-        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+    Texts of a bucket that agree in ``need`` samples, directly or by others of
+    the bucket, get into one component.  So do all texts of a bucket of more
+    than ``crowd``: they are told apart by large_classes.
+    """
+    keys = texts.select("node", F.explode("bands").alias("key"))
+    often = common.stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"), "buckets")
+    members = keys.join(often, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["key"]):
+            start = group_starts(table, ["key"])
+            size = np.diff(np.r_[start, table.num_rows])
+            node, sig = table.column("node").to_numpy(), signatures_of(table.column("signature"))
+            head = np.repeat(start, size)
+            near = (sig == sig[head]).sum(axis=1) >= need
+            for g in np.flatnonzero(~np.logical_and.reduceat(near, start)):  # not all agree with the first
+                here = slice(start[g], start[g] + size[g])
+                head[here] = start[g] + searched(sig[here], need)
+            other = head != np.arange(len(head))
+            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[head[other]])], ["u", "v"])
 
-    return members.groupBy("label", "salt").cogroup(queries.groupBy("label", "salt")).applyInArrow(run, "u long, v long")
+    usual = members.filter(F.col("n") <= crowd).join(texts.select("node", "signature"), "node").select("key", "node", "signature")
+    usual = usual.repartition(common.shuffle_width(texts.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    hot = members.filter(F.col("n") > crowd).select(F.col("node").alias("u"), F.col("least").alias("v")).filter("u <> v")
+    return common.stash(usual.unionByName(hot), "proposed")
 
 
-def central(members: DataFrame, hubs: int) -> DataFrame:
-    """(label, node) of the members of each label that agree best with its commonest samples."""
-    values = members.select("label", F.posexplode("samples").alias("i", "x")).groupBy("label", "i", "x").count()
-    modal = values.groupBy("label", "i").agg(F.max(F.struct("count", "x"))["x"].alias("x"))
-    modal = modal.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("modal"))  # SAMPLES values
-    scored = members.join(modal, "label").select("label", "node", F.size(F.filter(F.arrays_zip("samples", "modal"), lambda p: p["samples"] == p["modal"])).alias("n"))
-    best = W.partitionBy("label").orderBy(F.desc("n"), "node")
-    return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= hubs).select("label", "node")
+def classes_in(sets: Weighted, sig: np.ndarray, similarity: float, need: int) -> np.ndarray:
+    return searched(sig, need, lambda y, near: near[sets.jaccard(y, near) >= similarity])
 
 
-def large_links(members: DataFrame, idf: np.ndarray, similarity: float, need: int, crowd: int, hubs: int, rounds: int) -> DataFrame:
-    """Links within components of more than ``crowd`` texts, dealt to groups of about that many.
+def block_classes(rows: DataFrame, similarity: float, need: int) -> DataFrame:
+    """(node, class) by all links inside each block of rows (block, node, signature, set); class is one of the nodes."""
 
-    Rounds: all that is free meets the most central free texts, until at most
-    crowd of a label are left.  What no round has linked is then, at most crowd
-    of a label at once, held against all members.
-    """
-    found = None
-    free, left = members, 0
-
-    def asked(nodes: DataFrame) -> DataFrame:
-        rows = members.join(nodes, ["label", "node"], "left_semi")
-        spread = rows.drop("salt").join(members.select("label", "salt").distinct(), "label")
-        return spread.select(*(F.col(n).alias(n) for n in spread.columns))  # columns of their own: members stand on the other side
-
-    for _ in range(rounds):
-        links = common.stash(compared(free, asked(common.stash(central(free, hubs), "hubs")), idf, similarity, need), "links")
-        found = links if found is None else found.unionByName(links)
-        met = links.filter("u <> v")
-        met = met.select(F.col("u").alias("node")).union(met.select("v")).distinct()
-        free = common.stash(free.join(met, "node", "left_anti"), "free")
-        left, was = free.groupBy("label").count().agg(F.max("count")).first()[0] or 0, left
-        if left <= crowd or left == was:
-            break
-    chunk = F.floor(F.row_number().over(W.partitionBy("label", "salt").orderBy("node")) / F.lit(max(1, crowd // 8)))
-    rest = common.stash(free.select("label", "node", "salt").withColumn("turn", F.concat_ws("-", F.floor(F.col("salt") / 8), chunk)), "rest")
-    for r in rest.select("turn").distinct().collect():
-        links = common.stash(compared(members, asked(rest.filter(F.col("turn") == r.turn).select("label", "node")), idf, similarity, need), "links")
-        found = links if found is None else found.unionByName(links)
-    return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["block"], 1000):
+            start = np.r_[group_starts(table, ["block"]), table.num_rows]
+            for a, b in zip(start[:-1], start[1:], strict=True):
+                part = table.slice(a, b - a)
+                node = part.column("node").to_numpy()
+                got = classes_in(Weighted(part.column("set").to_pylist()), signatures_of(part.column("signature")), similarity, need)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[got])], ["node", "class"])
+
+    dealt = rows.select("block", "node", "signature", "set").repartition(common.shuffle_width(rows.sparkSession), "block")
+    return dealt.sortWithinPartitions("block", F.xxhash64("node")).mapInArrow(run, "node long, class long")
 
 
 class Unions:
@@ -350,23 +297,28 @@ def across(sig: np.ndarray, group: Callable[[], np.ndarray], side: np.ndarray, h
             yield y, rest[near]
 
 
-def border_links(large: DataFrame, bands: DataFrame, links: DataFrame, idf: np.ndarray, similarity: float, need: int, crowd: int) -> DataFrame:
-    """Links (u, v) between the classes that ``links`` has made of each label's texts (label, node, signature, text).
+def border_links(own: DataFrame, bands: DataFrame, similarity: float, need: int, crowd: int) -> DataFrame:
+    """Links (u, v) between the classes of own (label, node, class, signature, set): all pairs with a band in common.
 
-    bands: node, bands.  All pairs of different classes with a band in common
-    are looked at.  Buckets that hold several classes are dealt to blocks of at
-    most about ``crowd``, and each block meets each.  Signatures meet first;
-    texts follow where they agree with a text of another class.
+    Only buckets with several classes are looked at.  There the texts of the
+    commonest class and the others are dealt to blocks of at most about
+    ``crowd``, and each block of others meets each block: a bucket of one large
+    class and a few others grows in proportion.  Signatures meet first; sets
+    follow where they agree with a text of another class.
     """
-    classes = components(links)
-    own = large.select("label", "node", "signature").join(classes.select("node", F.col("label").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
     keyed = own.select("label", "node", "class").join(bands, "node").select("label", "node", "class", F.posexplode("bands").alias("band", "key"))
     keyed = common.stash(keyed, "keyed")
-    mixed = keyed.groupBy("label", "band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("label", "band", "key", F.ceil(F.col("n") / crowd).alias("blocks"))
-    dealt = keyed.join(mixed, ["label", "band", "key"]).withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    place = ["label", "band", "key", "one", "two"]
-    dealt = dealt.select("label", "band", "key", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "node", "class")
+    at = ["label", "band", "key"]
+    sizes = keyed.groupBy(*at, "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy(*at).agg(F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    mixed = mixed.select(*at, F.col("top.class").alias("main"), F.ceil(F.col("top.n") / crowd).alias("mains"), F.ceil((F.col("all") - F.col("top.n")) / crowd).alias("rest"))
+    # blocks of others are 0, 1, ..; those of the main class -1, -2, ..
+    dealt = keyed.join(mixed, at).withColumn("is_main", F.col("class") == F.col("main"))
+    dealt = dealt.withColumn("side", F.when(F.col("is_main"), -1 - F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "rest")))
+    meets = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("rest") - 1))
+    dealt = dealt.withColumn("other", F.explode(meets))
+    place = [*at, "one", "two"]
+    dealt = dealt.select(*at, F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "node", "class")
 
     def parts(table: pa.Table) -> tuple:
         _, group = np.unique(table.column("class").to_numpy(), return_inverse=True)
@@ -382,7 +334,7 @@ def border_links(large: DataFrame, bands: DataFrame, links: DataFrame, idf: np.n
 
     def verify(table: pa.Table) -> pa.Table:
         node, sig, group, side, halves, band = parts(table)
-        sets, unions = Weighted(lowered(table.column("text").combine_chunks()), idf), Unions(group.max() + 1)
+        sets, unions = Weighted(table.column("set").to_pylist()), Unions(group.max() + 1)
         u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for y, near in across(sig, lambda: unions.over[group], side, halves, band, need):
             linked = near[sets.jaccard(y, near) >= similarity]
@@ -395,101 +347,136 @@ def border_links(large: DataFrame, bands: DataFrame, links: DataFrame, idf: np.n
     kind = "label long, band int, key long, one long, two long, side long, node long, class long"
     signed = dealt.join(own.select("node", "signature"), "node")
     hit = common.stash(signed.groupBy(*place).applyInArrow(meet, kind), "borders")
-    texts = hit.join(large.select("node", "signature", "text"), "node")
-    return common.stash(texts.groupBy(*place).applyInArrow(verify, "u long, v long"), "links")
+    whole = hit.join(own.select("node", "signature", "set"), "node")
+    out = common.stash(whole.groupBy(*place).applyInArrow(verify, "u long, v long"), "links")
+    common.discard(keyed, hit)
+    return out
+
+
+def large_classes(large: DataFrame, bands: DataFrame, similarity: float, need: int, crowd: int, room: int) -> DataFrame:
+    """(node, class) of components that are too large for one task: large (label, node, cells, band, signature, set).
 
+    Blocks hold texts with the same first band, as far as they go together; one
+    text of each class of the blocks meets those of other blocks of its label,
+    as long as that makes them much fewer.  Whatever is apart then meets in
+    border_links, so that no link between classes is lost.
+    """
+    by = large.groupBy("label", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("cells").alias("cells"))
+    cut = lambda n, cells: F.ceil(F.greatest(F.col(n) / crowd, F.col(cells) / room))
+    by = by.withColumn("own", cut("n", "cells"))
+    rest = by.filter("own = 1").groupBy("label").agg(F.sum("n").alias("rn"), F.sum("cells").alias("rc")).select("label", cut("rn", "rc").alias("spread"))
+    where = common.stash(by.select("label", "band", "own").join(rest, "label", "left"), "where")
+    block = F.when(F.col("own") > 1, F.xxhash64("label", "band", F.pmod(F.xxhash64("node"), "own"))).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("band"), "spread")))
+    now = common.stash(block_classes(large.join(where, ["label", "band"]).withColumn("block", block), similarity, need), "blocks")
+    links = now.select(F.col("node").alias("u"), F.col("class").alias("v"))
+    heads, before = now.select(F.col("class").alias("node")).distinct(), None
+    while True:
+        heads = common.stash(large.select("label", "node", "cells").join(heads, "node"), "heads")
+        of = heads.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("cells").alias("cells")).withColumn("blocks", cut("n", "cells"))
+        of = of if before is None else of.join(before, "label").filter(F.col("n") <= F.col("was") / 2).drop("was")
+        of = common.stash(of.filter("n > 1"), "of")
+        if of.isEmpty():
+            break
+        mine = heads.join(of.select("label", "blocks", "n"), "label").withColumn("block", F.xxhash64("label", F.pmod(F.xxhash64("node", "n"), "blocks")))
+        now = common.stash(block_classes(mine.select("node", "block").join(large.select("node", "signature", "set"), "node"), similarity, need), "blocks")
+        links = links.unionByName(now.select(F.col("node").alias("u"), F.col("class").alias("v")))
+        heads = now.select(F.col("class").alias("node")).distinct()
+        # those that one block held whole have met
+        before = of.filter("blocks > 1").select("label", F.col("n").alias("was"))
+    links = common.stash(links.filter("u <> v"), "links")
+    found = components(links).select("node", F.col("label").alias("class"))
+    own = large.select("label", "node", "signature", "set").join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    own = common.stash(own, "own")
+    more = border_links(own, bands, similarity, need, crowd)
+    out = components(links.unionByName(more)).select("node", F.col("label").alias("class"))
+    common.discard(own)
+    return out
 
-def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0.5, crowd: int = 2000, hubs: int = 16, rounds: int = 6) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and node (a hash of the text) of each row of ``doc_id, text``.
+
+SIGNED = "doc_id long, h1 long, h2 long, node long, cells int, signature binary, bands array<long>, set binary"
+
+
+def signed_rows(df: DataFrame) -> DataFrame:
+    """A stashed row for each of ``doc_id, text``: node (its number), signature, bands and weighted set (null without words)."""
+    held = packs.packed(df, True, "packs")
+    rows = held.agg(F.sum("n")).first()[0] or 0
+
+    def ask(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([shingles(part)[1] for _, part in parts_of(texts)] or [np.empty(0, np.uint64)]), return_counts=True)
+
+    told = packs.answers(held, packs.buckets_for(held, 6), ask, lambda hashes, n: idf_steps(frequencies(hashes, n), rows), "idf")
+
+    def sign(pack: dict, steps: np.ndarray) -> pa.Table:
+        n = pack["n"]
+        found = [(at, *shingles(part)) for at, part in parts_of(packs.texts_of(pack["texts"], np.array(pack["ends"], np.int64)))]
+        known = np.unique(np.concatenate([f[2] for f in found] or [np.empty(0, np.uint64)]))
+        cols: list[list] = [[0] * n, [None] * n, [None] * n, [None] * n]
+        for at, text, shingle, times in found:
+            if not len(text):
+                continue
+            step = steps[np.searchsorted(known, shingle)]
+            starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            got = samples(shingle, times * (step / 8.0), starts)
+            keys = np.empty((len(got), BANDS), np.uint64)
+            for b in range(BANDS):
+                z = np.full(len(got), b + 1, np.uint64)
+                for k in range(ROWS):
+                    z = mix(z ^ got[:, b * ROWS + k].astype(np.uint64)) + U(k + 1)
+                keys[:, b] = z
+            for i, (a, b) in enumerate(zip(starts, np.r_[starts[1:], len(text)], strict=True)):
+                k = at + int(text[a])
+                cols[0][k], cols[1][k], cols[2][k], cols[3][k] = int(b - a), got[i].tobytes(), keys[i].view(np.int64).tolist(), set_bytes(shingle[a:b], step[a:b], times[a:b])
+        ids = [pa.array(pack[c], pa.int64()) for c in ("doc", "h1", "h2")]
+        kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        return pa.table([*ids, pa.array(packs.row_ids(pack["pack"], n)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [x.split()[0] for x in SIGNED.split(", ")])
+
+    out = common.stash(packs.with_answers(held, told, sign, SIGNED), "signatures")
+    common.discard(held, told)
+    return out
+
+
+def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0.5, crowd: int = 2000, room: int = 1 << 20) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), and h1, h2 (two hashes of the text) of each row of ``doc_id, text``.
 
     Classes are components of links: equal texts, and texts whose weighted
     Jaccard similarity is at least ``similarity``.  A link is found unless all
     bands miss it (9e-5 at 0.8, less above) or less than ``agreement`` of the
-    samples agree (1e-5).  In components of more than ``crowd`` candidates hubs
-    make classes first, and then texts of different classes are held against
-    each other where they have a band in common.
+    samples agree (1e-5).  A task compares about ``crowd`` texts or ``room``
+    shingles (or one longer text) at once; larger components of candidates are
+    dealt to several, with the same links.
 
     Null text is an empty text; texts without words are only grouped with equal
     ones.  Rows without doc_id take part; if a class has no doc_id, class_id is
-    its node.  Repeated rows are all reported.  Further columns are not read.
+    the number of one of its rows, less 2^63.  Repeated rows are all reported.
+    A text of n bytes takes about 12 n bytes in a task.  Further columns are not
+    read.  An empty table gives no rows.
     """
     spark = df.sparkSession
-    base = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_of()).alias("node"), common.text_of().alias("text"))
-    idf = idf_steps(sketch(base), base.count())
+    signed = signed_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")))
     need = int(np.ceil(agreement * SAMPLES))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig: list[bytes | None] = [None] * batch.num_rows
-            bands: list[list[int] | None] = [None] * batch.num_rows
-            for at, part in in_batches(lowered(batch.column("text")), 1 << 17):
-                text, shingle, times = shingles(part)
-                if not len(text):
-                    continue
-                starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                got = samples(shingle, times * (idf[cell(shingle)] / 8.0), starts)
-                keys = np.empty((len(got), BANDS), np.uint64)
-                for b in range(BANDS):
-                    z = np.full(len(got), b + 1, np.uint64)
-                    for k in range(ROWS):
-                        z = mix(z ^ got[:, b * ROWS + k].astype(np.uint64)) + U(k + 1)
-                    keys[:, b] = z
-                for i, k in enumerate(at + text[starts]):
-                    sig[k], bands[k] = got[i].tobytes(), keys[i].view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "signature", "bands"])
-
-    signed = common.stash(base.mapInArrow(sign, "doc_id long, node long, signature binary, bands array<long>"), "signatures")
-    texts = common.stash(signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "texts")
-
-    # buckets of two and more
-    keys = texts.select("node", F.explode("bands").alias("key"))
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = keys.join(often, "key")
-    edges, most = None, crowd / 4
-    while True:
-        # larger groups each round, so that in the end all leaders of a bucket have met
-        salted = members.withColumn("salts", F.ceil(F.col("n") / most)).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(most)), F.col("salts")))
-        links = common.stash(propose(salted.join(texts.select("node", "signature"), "node").select("key", "salt", "node", "signature"), agreement), "proposed")
-        edges = links.select("u", "v") if edges is None else edges.union(links.select("u", "v"))
-        dealt = members.filter(F.col("n") > most).select("key").distinct()
-        leaders = common.stash(links.filter("u = v").select("key", F.col("u").alias("node")).join(dealt, "key", "left_semi"), "leaders")
-        if leaders.isEmpty():
-            break
-        members = leaders.join(common.stash(leaders.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts").filter("n > 1"), "key")
-        most *= 2
-    labels = components(edges.filter("u <> v"))
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    placed = labels.join(sizes, "label").join(texts.select("node", "first_doc", "signature"), "node")
-    whole = base.withColumnRenamed("node", "h").join(placed, (F.col("h") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    # one text for each node, should its first doc_id (or none) stand in several rows
-    whole = common.stash(whole.select("label", "n", "node", "signature", "text"), "candidates")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, ["label"], 4000):
-            start = np.r_[group_starts(table, ["label"]), table.num_rows]
-            for a, b in zip(start[:-1], start[1:], strict=True):
-                part = table.slice(a, b - a)
-                node = part.column("node").to_numpy()
-                _, keep = np.unique(node, return_index=True)
-                part, node = part.take(pa.array(keep)), node[keep]
-                got = classes_in(Weighted(lowered(part.column("text").combine_chunks()), idf), signatures_of(part.column("signature")), similarity, need)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[got])], ["node", "class"])
-
-    small = whole.filter(F.col("n") <= crowd).repartition(common.shuffle_width(spark), "label").sortWithinPartitions("label").mapInArrow(verify, "node long, class long")
-    large = whole.filter(F.col("n") > crowd).dropDuplicates(["label", "node"])
-    classes = small
+    equal = ["h1", "h2"]
+    same = signed.groupBy(*equal).agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc"))
+    same = common.stash(same, "texts")
+    # of each text the row with the least number stands for all
+    texts = signed.select("node", "cells", "signature", "bands").filter("cells > 0").join(same.select("node"), "node", "left_semi")
+    texts = common.stash(texts, "signed")
+    labels = components(proposed(texts.select("node", "signature", "bands"), need, crowd))
+    sizes = labels.join(texts.select("node", "cells"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("cells").alias("total"))
+    placed = labels.join(sizes, "label").join(signed.select("node", "cells", "signature", F.col("bands")[0].alias("band"), "set"), "node")
+    whole = common.stash(placed, "candidates")
+    fits = (F.col("n") <= crowd) & (F.col("total") <= room)
+    classes = block_classes(whole.filter(fits).withColumnRenamed("label", "block"), similarity, need)
+    large = whole.filter(~fits)
     if not large.isEmpty():
-        samples_of = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.hex(F.substring("signature", i * 4 + 1, F.lit(4))))
-        large = common.stash(large.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / crowd))).withColumn("samples", samples_of), "large")
-        links = large_links(large, idf, similarity, need, crowd, hubs, rounds)
-        links = links.unionByName(border_links(large, texts.select("node", "bands"), links, idf, similarity, need, crowd))
-        classes = small.unionByName(components(links).select("node", F.col("label").alias("class")))
+        classes = classes.unionByName(large_classes(large.drop("n", "total"), texts.select("node", "bands"), similarity, need, crowd, room))
     classes = common.stash(classes, "classes")
-    known = texts.select("node", "first_doc").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    known = same.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     known = common.stash(known, "known")
-    names = known.groupBy("class").agg(F.coalesce(F.min("first_doc"), F.first("class")).alias("class_id"))
-    told = known.join(names, "class").select(F.col("node"), "class_id")
-    return signed.select("doc_id", "node").join(told, "node").select("doc_id", "class_id", "node")
+    names = known.groupBy("class").agg(F.coalesce(F.min("first_doc"), F.first("class") + F.lit(-(1 << 63))).alias("class_id"))
+    told = known.join(names, "class").select(*equal, "class_id")
+    out = common.stash(signed.select("doc_id", *equal).join(told, equal).select("doc_id", "class_id", *equal), "near")
+    common.discard(signed, same, texts, whole, classes, known)
+    return out
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,21 +4,26 @@ Encoding cost is dominated by repeated words.  A text is cut into *units* at
 places where the tokenizer always starts a new pre-token, equal units of a
 batch are found by Arrow dictionary encoding, and only units that this worker
 hasn't met are given to the tokenizer.  Texts where the cuts aren't provably
-pre-token borders are encoded whole, so ids always equal ``encode(text)``.
+pre-token borders, and texts that hold one of the tokenizer's added tokens
+(``<|endoftext|>``), are encoded whole, so ids always equal those of
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lumenfit.llm.bytehash import BYTES, Spans, ragged
+
 MARK = "\x01"
 SPACES = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes of text that are cut into units at once; bounds memory for long texts.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 2 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,9 +38,7 @@ def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def cut_style(path: str) -> str:
@@ -51,17 +54,64 @@ def cut_style(path: str) -> str:
     return "whole"
 
 
+def added_pattern(path: str) -> str:
+    """A pattern of the added tokens, in any case, as a normaliser may fold it; empty without any."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f).get("added_tokens") or []
+    return "(?i)" + "|".join(re.escape(t["content"]) for t in held) if held else ""
+
+
+class UnitMemo:
+    """Ids of units met before, in flat arrays of about 40 bytes a unit.
+
+    A unit is looked up by a 64-bit hash, and its bytes are compared.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.hash, self.order = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted hashes, and whose they are
+        self.raw, self.end = np.empty(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.ids_end = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def find(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and number (-1: not met) of each unit."""
+        h = Spans(BYTES[raw]).of(start, end)
+        if not len(self.hash):
+            return h, np.full(len(h), -1)
+        k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        size, at = end - start, self.order[k]
+        alike = (self.hash[k] == h) & (self.end[at + 1] - self.end[at] == size)
+        some = np.flatnonzero(alike)
+        differ = np.r_[0, np.cumsum(raw[ragged(start[some], size[some])] != self.raw[ragged(self.end[at[some]], size[some])])]
+        ends = np.cumsum(size[some])
+        alike[some[differ[ends] > differ[ends - size[some]]]] = False
+        return h, np.where(alike, at, -1)
+
+    def add(self, h: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = min(len(h), self.most - len(self.hash))
+        if n <= 0:
+            return
+        first, h, start, end, sizes = len(self.order), h[:n], start[:n], end[:n], sizes[:n]
+        self.raw = np.concatenate([self.raw, raw[ragged(start, end - start)]])
+        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(end - start)])
+        self.ids = np.concatenate([self.ids, ids[: int(sizes.sum())]])
+        self.ids_end = np.concatenate([self.ids_end, self.ids_end[-1] + np.cumsum(sizes)])
+        both = np.concatenate([self.hash, h])
+        at = np.argsort(both, kind="stable")
+        self.hash, self.order = both[at], np.concatenate([self.order, first + np.arange(n)])[at]
+
+
 class UnitEncoder:
     """``encode(texts)`` gives the ids of each text, concatenated, and offsets.
 
-    max_units bounds the memo (about 200 bytes each); beyond it units are still
-    encoded, but not kept.
+    max_units bounds the memo; beyond it units are still encoded, but not kept.
     """
 
     _kept: dict = {}
 
-    def __init__(self, path: str, max_units: int = 1_200_000):
-        self.tok, self.style, self.memo, self.max_units = load(path), cut_style(path), {}, max_units
+    def __init__(self, path: str, max_units: int = 700_000):
+        self.tok, self.style, self.memo = load(path), cut_style(path), UnitMemo(max_units)
+        self.added = added_pattern(path)
 
     @classmethod
     def of(cls, path: str) -> UnitEncoder:
@@ -70,20 +120,29 @@ class UnitEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _units(self, units: list[str]) -> list[bytes]:
-        memo = self.memo
-        got = [memo.get(u) for u in units]
-        new = [i for i, g in enumerate(got) if g is None]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for i, ids in zip(part, self._whole([units[i] for i in part]), strict=True):
-                got[i] = ids
-                if len(memo) < self.max_units:
-                    memo[units[i]] = ids
-        return got
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and their number by text."""
+        ids, sizes = [np.empty(0, np.uint32)], []
+        for at in range(0, len(texts), 4000):
+            for e in self.tok.encode_batch_fast(texts[at : at + 4000], add_special_tokens=False):
+                got = e.ids
+                sizes.append(len(got))
+                ids.append(np.array(got, np.uint32))
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool of ids, first, size): where the ids of each unit stand."""
+        ends = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
+        raw = np.frombuffer(units.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+        start, end = ends[:-1] - ends[0], ends[1:] - ends[0]
+        h, known = self.memo.find(raw, start, end)
+        new = np.flatnonzero(known < 0)
+        ids, sizes = self._whole(units.take(pa.array(new)).to_pylist())
+        first, size = self.memo.ids_end[known], self.memo.ids_end[known + 1] - self.memo.ids_end[known]
+        first[new], size[new] = len(self.memo.ids) + np.cumsum(sizes) - sizes, sizes
+        pool = np.concatenate([self.memo.ids, ids]) if len(new) else self.memo.ids
+        self.memo.add(h[new], raw, start[new], end[new], ids, sizes)
+        return pool, first, size
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids and offsets of texts that may be cut at spaces and line ends."""
@@ -96,15 +155,11 @@ class UnitEncoder:
         ends = ends - ends[0]
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy()
-        ids = self._units(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2
-        pool = np.frombuffer(b"".join(ids), dtype=np.uint32)
-        first = np.cumsum(size) - size
+        pool, first, size = self._units(coded.dictionary.cast(pa.large_string()))
         lens = size[index]
         done = np.zeros(len(lens) + 1, dtype=np.int64)
         np.cumsum(lens, out=done[1:])
-        at = np.arange(done[-1], dtype=np.int64) + np.repeat(first[index] - done[:-1], lens)
-        return pool[at], done[ends]
+        return pool[ragged(first[index], lens)], done[ends]
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.style == "whole":
@@ -113,6 +168,8 @@ class UnitEncoder:
             odd = pc.match_substring_regex(texts, f"{SPACES}{SPACES}|{MARK}").to_numpy(zero_copy_only=False)
         else:
             odd = np.zeros(len(texts), dtype=bool)
+        if self.added:
+            odd |= pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._cut(texts)
         parts: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
@@ -122,8 +179,9 @@ class UnitEncoder:
             for k, i in enumerate(even):
                 parts[i] = ids[ends[k] : ends[k + 1]]
         rest = np.flatnonzero(odd)
-        for i, ids in zip(rest, self._whole(texts.take(pa.array(rest)).to_pylist()), strict=True):
-            parts[i] = np.frombuffer(ids, dtype=np.uint32)
+        ids, sizes = self._whole(texts.take(pa.array(rest)).to_pylist())
+        for i, part in zip(rest, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            parts[i] = part
         ends = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum([len(p) for p in parts], out=ends[1:])
         return np.concatenate(parts), ends
@@ -137,6 +195,7 @@ class UnitEncoder:
         for k, at in enumerate(starts):
             to = starts[k + 1] if k + 1 < len(starts) else len(lens)
             ids, ends = self._slice(texts.slice(at, to - at))
+            pa.default_memory_pool().release_unused()  # workers live on, and other operators run in them
             yield at, ids, ends
 
 
