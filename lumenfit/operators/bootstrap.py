@@ -41,21 +41,47 @@ def indexed(df: DataFrame, keys: list[str], strata: Sequence[str] = ()) -> DataF
     return out.join(sizes, on).drop(*(f"_k{i}" for i in range(len(by))))
 
 
-def multiplicities(rows: DataFrame, reps: DataFrame, seed: int, sample_size: int | None = None) -> DataFrame:
-    """rep, _first, _row, w: how often each replicate draws each row; draws are made where the replicate is."""
-    strata = rows.select("_first", "_size").distinct()
+#: Draws that are made together.
+DRAWS = 1 << 16
+
+
+def drawn_rows(rows: DataFrame, reps: Sequence[int], seed: int, sample_size: int | None = None) -> DataFrame:
+    """rep, _first, _row of each draw.
+
+    Work items are blocks of DRAWS draws of a replicate in a stratum, dealt to
+    tasks before the draws are made.
+    """
+    strata = rows.groupBy("_first").agg(F.first("_size").alias("_size"))
     want = F.lit(sample_size).cast("long") if sample_size else F.col("_size")
-    pairs = reps.crossJoin(F.broadcast(strata))  # replicates x strata: a bounded set of work items
-    draws = pairs.withColumn("draw", F.explode(F.sequence(F.col("_first"), F.col("_first") + want - 1)))
-    return draws.withColumn("_row", drawn(seed, F.col("_size"))).groupBy("rep", "_first", "_row").agg(F.count(F.lit(1)).alias("w"))
+    blocks = strata.withColumn("_want", want).withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_want") - 1) / DRAWS))))
+    ids = F.split(F.lit(",".join(map(str, reps))), ",").cast("array<bigint>")
+    items = blocks.withColumn("rep", F.explode(ids))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    first = F.col("_first") + F.col("_block") * DRAWS
+    last = F.least(first + DRAWS, F.col("_first") + F.col("_want")) - 1
+    draws = items.repartition(4 * width, "rep", "_first", "_block").withColumn("draw", F.explode(F.sequence(first, last)))
+    return draws.select("rep", "_first", drawn(seed, F.col("_size")).alias("_row"))
+
 
+def multiplicities(rows: DataFrame, reps: Sequence[int], seed: int, sample_size: int | None = None) -> DataFrame:
+    """rep, _first, _row, w: how often each replicate draws each row."""
+    return drawn_rows(rows, reps, seed, sample_size).groupBy("rep", "_first", "_row").agg(F.count(F.lit(1)).alias("w"))
 
-def replicate_values(err: DataFrame, included: DataFrame, rows: DataFrame, reps: DataFrame, seed: int, keys: list[str], sample_size: int | None = None, columns: Sequence[str] = ("e2",)) -> DataFrame:
-    """rep and the macro nRMSE (one for each error column) of each replicate."""
-    w = multiplicities(rows, reps, seed, sample_size)
+
+def replicate_values(err: DataFrame, included: DataFrame, rows: DataFrame, reps: Sequence[int], seed: int, keys: list[str], sample_size: int | None = None, columns: Sequence[str] = ("e2",), most_broadcast: int = 500_000) -> DataFrame:
+    """rep and the macro nRMSE (one for each error column) of each replicate.
+
+    At most most_broadcast errors, counted first, are sent to the draws, which
+    are summed where they are made; else draws are counted by row and shuffled.
+    """
     place = rows.select(*map(c, keys), "_first", "_row")
     used = err.join(included.select("output_name", "ref_range"), "output_name").join(place, keys)
-    by_output = used.join(w, ["_first", "_row"]).groupBy("rep", "output_name").agg(F.first("ref_range").alias("r"), *((F.sum(F.col("w") * F.col(e)) / F.sum("w")).alias(e) for e in columns))
+    used = used.select("_first", "_row", "output_name", F.col("ref_range").alias("r"), *columns)
+    if used.count() <= most_broadcast:
+        drawn_ = drawn_rows(rows, reps, seed, sample_size).withColumn("w", F.lit(1)).join(F.broadcast(used), ["_first", "_row"])
+    else:
+        drawn_ = used.join(multiplicities(rows, reps, seed, sample_size), ["_first", "_row"])
+    by_output = drawn_.groupBy("rep", "output_name").agg(F.max("r").alias("r"), *((F.sum(F.col("w") * F.col(e)) / F.sum("w")).alias(e) for e in columns))
     return by_output.groupBy("rep").agg(*(F.avg(F.sqrt(e) / F.col("r")).alias(e) for e in columns))
 
 
@@ -69,17 +95,23 @@ def signature(*parts: object) -> str:
 def _kept(values_of, err: DataFrame, ids: Iterable[int], checkpoint_dir: str | None, mark: str) -> DataFrame:
     """Replicates in the table at checkpoint_dir, after computing those of ``ids`` that it lacks."""
     spark = err.sparkSession
-    wanted = spark.createDataFrame([(int(i),) for i in ids], "rep long").repartition("rep")
+    wanted = [int(i) for i in ids]
     if checkpoint_dir is None:
         return values_of(wanted)
     path = f"{checkpoint_dir}/signature={mark}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    todo = wanted.join(spark.read.parquet(path).select("rep"), "rep", "left_anti") if there else wanted
-    if not todo.isEmpty():
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+
+    def kept() -> DataFrame:
+        # a run that broke off may have left an empty folder, or files that can't be read: those are computed again
+        table = spark.read.schema("rep long, e2 double").option("ignoreCorruptFiles", True).parquet(path)
+        return table.filter("rep IS NOT NULL").dropDuplicates(["rep"])
+
+    done = {r.rep for r in kept().select("rep").collect()}  # at most n_boot
+    if todo := [i for i in wanted if i not in done]:
         values_of(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path).dropDuplicates(["rep"])
+    return kept()
 
 
 def _interval(values: DataFrame, column: str, alpha: float) -> dict:
@@ -127,7 +159,7 @@ def stratified_bootstrap_macro_nrmse_ci(Y_true: DataFrame, Y_pred: DataFrame, Y_
     rows = indexed(Y_true.select(*map(c, [*keys, *strata])), keys, strata)
     ref = metrics.ranges(Y_ref, keys, outputs)
     included, point = _point(err, ref, min_range)
-    values = replicate_values(err, included, rows, Y_true.sparkSession.range(n_boot).withColumnRenamed("id", "rep").repartition("rep"), random_state, keys)
+    values = replicate_values(err, included, rows, range(n_boot), random_state, keys)
     k = max(2, n_stability_batches)
     batches = values.withColumn("batch", F.ntile(k).over(W.orderBy("rep")))  # n_boot rows; the first batches take what is over
     ends = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.percentile("e2", F.lit(alpha / 2)).alias("lo"), F.percentile("e2", F.lit(1 - alpha / 2)).alias("hi")).filter("n >= 2")
@@ -146,6 +178,6 @@ def bootstrap_paired_difference_ci(Y_true: DataFrame, Y_pred_a: DataFrame, Y_pre
     ref = metrics.ranges(Y_ref, keys, outputs)
     included, pa_ = _point(a, ref, min_range)
     _, pb = _point(b, ref, min_range)
-    values = replicate_values(err, included, rows, Y_true.sparkSession.range(n_boot).withColumnRenamed("id", "rep").repartition("rep"), random_state, keys, columns=("e2", "b2"))
+    values = replicate_values(err, included, rows, range(n_boot), random_state, keys, columns=("e2", "b2"))
     out = _interval(values.withColumn("d", F.col("e2") - F.col("b2")), "d", alpha)
     return {"point_estimate": pa_["point_estimate"] - pb["point_estimate"], "nrmse_a": pa_["point_estimate"], "nrmse_b": pb["point_estimate"], **_rounded(out, round_digits), "n_boot": n_boot, "alpha": alpha, "ci_type": "paired_stratified_percentile" if strata else "paired_percentile", "k_used": pa_["k_used"], "k_total": pa_["k_total"]}

@@ -15,6 +15,9 @@ from lumenfit.functions.transforms import DEFAULT_TRANSFORM_LIBRARY, TransformDe
 KNOWN_TRANSFORMATIONS = {"quadratic", "inverse", "log", "log1p", "square", "cubic", "cube", "reciprocal", "abs", "logarithmic", "sq", "inv", "sqrt"}
 
 
+#: Levels of a categorical input at most.
+MOST_LEVELS = 10_000
+
 # ---- expansion
 
 
@@ -106,7 +109,9 @@ def resolve_spec_levels(df: DataFrame, spec: DesignMatrixSpec) -> DesignMatrixSp
     done = []
     for d in spec.categorical_inputs:
         if d.levels is None:
-            found = df.select(c(d.name).cast("string").alias("v")).filter("v IS NOT NULL").distinct().collect()
+            found = df.select(c(d.name).cast("string").alias("v")).filter("v IS NOT NULL").distinct().limit(MOST_LEVELS + 1).collect()
+            if len(found) > MOST_LEVELS:
+                raise ValueError(f"{d.name!r} has more than {MOST_LEVELS} levels; each would be a column")
             d = CategoricalInputDecl(d.name, sorted(r.v for r in found))
         done.append(d)
     return DesignMatrixSpec(done, list(spec.interaction_pairs), spec.drop_first)

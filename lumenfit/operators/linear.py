@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfit.functions.columns import c, check_names, others
@@ -178,23 +178,59 @@ def fit_multitask_elastic_net_screen(X: DataFrame, Y: DataFrame, *, keys: list[s
 
     whole, parts = z(total), [z(m) for m in by_fold.values()]
     trains = [whole - m for m in parts]
+    errors = fold_errors(X.sparkSession, trains, parts, {r: solvers.alpha_grid(whole.sxy, whole.n, r, alphas) for r in l1_ratio}, max_iter, tol)
     best = (np.inf, 0.0, 0.0)
     for r in l1_ratio:
-        grid = solvers.alpha_grid(whole.sxy, whole.n, r, alphas)
-        errors = np.zeros(len(grid))
-        for train, val in zip(trains, parts, strict=True):
-            W = None
-            for k, a in enumerate(grid):
-                W = solvers.elastic_net(train.sxx, train.sxy, train.n, a, r, max_iter, tol, W)
-                errors[k] += val.sse(W.T, train.y - W.T @ train.x).sum()
-        k = int(np.argmin(errors))
-        if errors[k] < best[0]:
-            best = (float(errors[k]), float(grid[k]), float(r))
-    W = solvers.elastic_net(whole.sxx, whole.sxy, whole.n, best[1], best[2], max_iter, tol)
+        grid, sums = solvers.alpha_grid(whole.sxy, whole.n, r, alphas), sum(errors[r, f] for f in range(len(parts)))
+        k = int(np.argmin(sums))
+        if sums[k] < best[0]:
+            best = (float(sums[k]), float(grid[k]), float(r))
+    Q, R = solvers.rotation(whole.sxy)
+    W = solvers.elastic_net(whole.sxx, R, whole.n, best[1], best[2], max_iter, tol) @ Q.T
     mask = (np.abs(W) > selection_tol).any(axis=1)
     return ScreeningSelectionResult(xs, ys, W.T, mask, [f for f, k in zip(xs, mask, strict=True) if k], best[1], best[2], best[0] / (n * len(ys)), selection_tol, n)
 
 
+def fold_errors(spark: SparkSession, trains: list[Moments], vals: list[Moments], grids: dict[float, np.ndarray], max_iter: int, tol: float) -> dict[tuple[float, int], np.ndarray]:
+    """Squared validation errors along the grid of alphas, by l1_ratio and fold: one task each.
+
+    A task gets p x p arrays, whatever the number of outputs: the outputs are
+    rotated onto the at most p directions that the training products have, which
+    leaves row norms, and with them penalty and solution, as they are.
+    """
+    work = []
+    for f, (train, val) in enumerate(zip(trains, vals, strict=True)):
+        Q, R = solvers.rotation(train.sxy)
+        dy = val.y - train.y
+        arrays = (train.sxx, R, val.sxx, val.sxy @ Q, val.x - train.x, dy @ Q, np.array([float(train.n), float(val.n), val.syy.sum() + val.n * (dy @ dy)]))
+        work += [(float(r), f, len(train.x), R.shape[1], bytearray(b"".join(np.asarray(a, "<f8").tobytes() for a in arrays))) for r in grids]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, f, p, k, data in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                got = path_errors(np.frombuffer(data, "<f8"), p, k, grids[r], r, max_iter, tol)
+                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([f], pa.int64()), pa.array([got.tolist()])], ["ratio", "fold", "errors"])
+
+    tasks = spark.createDataFrame(work, "ratio double, fold long, p long, k long, data binary").repartition(len(work), "ratio", "fold")
+    return {(r.ratio, r.fold): np.array(r.errors) for r in tasks.mapInArrow(run, "ratio double, fold long, errors array<double>").collect()}
+
+
+def path_errors(data: np.ndarray, p: int, k: int, grid: np.ndarray, ratio: float, max_iter: int, tol: float) -> np.ndarray:
+    """Squared errors of a fold along the grid, each fit beginning with the one before."""
+    at, arrays = 0, []
+    for shape in ((p, p), (p, k), (p, p), (p, k), (p,), (k,), (3,)):
+        size = int(np.prod(shape))
+        arrays.append(data[at : at + size].reshape(shape))
+        at += size
+    sxx, sxy, vxx, vxy, dx, dy, (n, m, syy) = arrays
+    out, V = [], None
+    for a in grid:
+        V = solvers.elastic_net(sxx, sxy, int(n), a, ratio, max_iter, tol, V)
+        gap = V.T @ dx
+        out.append(syy - 2 * (V * vxy).sum() + (V * (vxx @ V)).sum() + m * (gap @ gap - 2 * dy @ gap))
+    return np.maximum(np.array(out), 0)
+
+
 def screening_selection_table(result: ScreeningSelectionResult) -> list[dict]:
     """feature, position, selected, nonzero outputs and the largest coefficient, in order."""
     size = np.abs(result.coef)

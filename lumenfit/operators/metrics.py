@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfit.functions.columns import c, others
+from lumenfit.operators import validate
 
 
 def long(df: DataFrame, keys: list[str], value: str, outputs: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -24,13 +25,18 @@ def ranges(Y_ref: DataFrame, keys: list[str], outputs: list[str] | None = None)
 
 
 def errors(Y_true: DataFrame, Y_pred: DataFrame, keys: list[str], keep: Sequence[str] = ()) -> DataFrame:
-    """keys, keep, output_name, output_position, e2: squared differences; both tables must have the same outputs."""
+    """keys, keep, output_name, output_position, e2: squared differences.
+
+    Both tables must have the same outputs and the same keys; a key of one side
+    alone is an error when the rows are read.
+    """
     outputs = others(Y_true, [*keys, *keep])
     if outputs != others(Y_pred, keys):
         raise ValueError("Y_true and Y_pred must have the same output columns in order")
     pred = Y_pred.select(*map(c, keys), *(c(n).alias(f"_p_{n}") for n in outputs))
-    both = Y_true.join(pred, keys)
-    return long(both.select(*map(c, [*keys, *keep]), *(F.pow(c(n).cast("double") - c(f"_p_{n}").cast("double"), 2).alias(n) for n in outputs)), keys, "e2", outputs, keep)
+    rows = validate.joined(Y_true, pred, keys, "Y_true and Y_pred must have the same rows")
+    squares = (F.pow(c(n).cast("double") - c(f"_p_{n}").cast("double"), 2).alias(n) for n in outputs)
+    return long(rows.select(*map(c, [*keys, *keep]), *squares), keys, "e2", outputs, keep)
 
 
 def _mean_all(x: Column) -> Column:
@@ -63,7 +69,10 @@ def summarise(table: DataFrame, by: Sequence[str] = (), tails: Sequence[float] =
 def macro_nrmse_with_ref(Y_true: DataFrame, Y_pred: DataFrame, Y_ref: DataFrame, *, keys: list[str], min_range: float = 1e-6) -> DataFrame:
     """macro_nrmse, k_used, k_total in one row."""
     table = per_output(errors(Y_true, Y_pred, keys), ranges(Y_ref, keys, others(Y_true, keys)), min_range)
-    return table.agg(F.avg("nrmse").alias("macro_nrmse"), F.count_if("included_in_macro").alias("k_used"), F.count(F.lit(1)).alias("k_total"))
+    some = F.count(F.lit(1)) > 0
+    none = "metrics need at least one evaluation row, reference row and output"
+    used = F.count_if("included_in_macro").alias("k_used")
+    return table.agg(F.avg("nrmse").alias("macro_nrmse"), used, validate.paired(some, F.count(F.lit(1)), none).alias("k_total"))
 
 
 def stratified_nrmse_summary(Y_true: DataFrame, Y_pred: DataFrame, Y_ref: DataFrame, *, keys: list[str], strata: Sequence[str], min_range: float = 1e-6, tail_quantiles: Sequence[float] = (0.95, 0.99), metric_population: str = "included_outputs_all_rows") -> DataFrame:

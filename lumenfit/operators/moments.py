@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfit.functions.columns import c
+from lumenfit.functions.columns import INF, c
 
 #: Up to so many features and outputs the aggregates stay in the JVM.
 NATIVE = 12
@@ -101,16 +101,24 @@ def _scale(s: np.ndarray, n: int) -> np.ndarray:
     return np.where(sd > 0, sd, 1.0)
 
 
+def _whole(odd: list[str]) -> None:
+    if odd:
+        raise ValueError(f"columns with missing or non-finite values: {odd}")
+
+
 def _native(df: DataFrame, xs: list[str], ys: list[str], by: list[str]) -> dict[tuple, Moments]:
     names = [*xs, *ys]
     p, q = len(xs), len(ys)
     x = {n: c(n).cast("double") for n in names}
     pairs = [(i, j) for i in range(p + q) for j in range(i, p + q) if i < p or i == j]
-    aggs = [F.count(F.lit(1)).alias("n"), *(F.avg(x[n]).alias(f"m{i}") for i, n in enumerate(names)), *(F.covar_pop(x[names[i]], x[names[j]]).alias(f"s{i}_{j}") for i, j in pairs), *(f(x[n]).alias(f"{k}{i}") for k, f in (("lo", F.min), ("hi", F.max)) for i, n in enumerate(ys))]
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) != INF)
+    whole = [F.count_if(~F.coalesce(finite(x[n]), F.lit(False))).alias(f"odd{i}") for i, n in enumerate(names)]
+    aggs = [F.count(F.lit(1)).alias("n"), *whole, *(F.avg(x[n]).alias(f"m{i}") for i, n in enumerate(names)), *(F.covar_pop(x[names[i]], x[names[j]]).alias(f"s{i}_{j}") for i, j in pairs), *(f(x[n]).alias(f"{k}{i}") for k, f in (("lo", F.min), ("hi", F.max)) for i, n in enumerate(ys))]
     out = {}
     for r in df.groupBy(*map(c, by)).agg(*aggs).collect():
         if not r["n"]:
             continue
+        _whole([n for i, n in enumerate(names) if r[f"odd{i}"]])
         m = Moments.empty(p, q)
         m.n = r["n"]
         mean = np.array([r[f"m{i}"] for i in range(p + q)])
@@ -154,10 +162,12 @@ def _dense(df: DataFrame, xs: list[str], ys: list[str], by: list[str]) -> dict[t
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([m.to_bytes() for m in total.values()], pa.binary())], ["key", "data"])
 
     kind = "key string, data binary"
-    merged = flat.mapInArrow(partial, kind).repartition(MERGERS).mapInArrow(merge, kind)
+    # partials of tasks meet in MERGERS tasks, theirs in one for each group: the driver gets one of each
+    merged = flat.mapInArrow(partial, kind).repartition(MERGERS).mapInArrow(merge, kind).repartition(MERGERS, "key").mapInArrow(merge, kind)
     out: dict[str, Moments] = {}
-    for r in merged.collect():
-        out[r.key] = out.get(r.key, Moments.empty(p, q)) + Moments.from_bytes(bytes(r.data), p, q)
+    for r in merged.toLocalIterator():
+        m = out[r.key] = Moments.from_bytes(bytes(r.data), p, q)
+        _whole([n for n, v in zip([*xs, *ys], [*np.diag(m.sxx) + m.x, *m.syy + m.y], strict=True) if not np.isfinite(v)])
     if not by:
         return {(): m for m in out.values()}
     names = {r[-1]: tuple(r[:-1]) for r in df.select(*map(c, by), key.alias("_key")).distinct().collect()}
@@ -165,7 +175,10 @@ def _dense(df: DataFrame, xs: list[str], ys: list[str], by: list[str]) -> dict[t
 
 
 def moments(df: DataFrame, features: list[str], outputs: list[str], by: list[str] = ()) -> dict[tuple, Moments]:
-    """Moments of each group (one tuple of values of ``by``; () for all rows)."""
+    """Moments of each group (one tuple of values of ``by``; () for all rows).
+
+    Missing and non-finite values are errors, by either route.
+    """
     by = list(by)
     found = (_native if len(features) + len(outputs) <= NATIVE else _dense)(df, list(features), list(outputs), by)
     return found or ({} if by else {(): Moments.empty(len(features), len(outputs))})

@@ -40,25 +40,29 @@ def ols2(source: str, where: str = "") -> str:
 fit AS (SELECT *, (d * u - b * w) / (a * d - b * b) AS b1, (a * w - b * u) / (a * d - b * b) AS b2 FROM cov)"""
 
 
-def draws(size: str, first: str = "0", strata: str = "") -> str:
-    return f"""SELECT rep, {strata} (('0x' || substr(md5('123|' || rep || '|' || draw), 1, 8))::BIGINT % {size}) AS row, count(*) AS w"""
+#: The row (0-based) that replicate rep draws; 1000 replicates of as many rows as there are.
+DRAWN = "('0x' || substr(md5('123|' || rep || '|' || draw), 1, 8))::BIGINT % size"
 
 
-def replicates(columns: str, sample: int | None = 500, stratum: str | None = None) -> str:
-    """Macro nRMSE of each replicate; rows are counted in the order of their digest."""
+def replicates(columns: str, stratum: str | None = None) -> str:
+    """e2, b2 (macro nRMSE of both guesses) of each replicate; rows are counted in the order of their digest."""
     by = f"PARTITION BY {stratum}" if stratum else ""
     s = stratum or "'all'"
-    want = str(sample) if sample else "size"
     return f"""idx AS (SELECT o_orderkey, {s} AS s, row_number() OVER ({by} ORDER BY md5('0|' || o_orderkey), o_orderkey) - 1 AS row FROM m),
 str AS (SELECT s, size, coalesce(sum(size) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM (SELECT s, count(*) AS size FROM idx GROUP BY s)),
-dr AS (SELECT rep, s, size, unnest(range(first, first + {want})) AS draw FROM str, range(20) AS t(rep)),
-mult AS (SELECT rep, s, ('0x' || substr(md5('123|' || rep || '|' || draw), 1, 8))::BIGINT % size AS row, count(*) AS w FROM dr GROUP BY ALL),
+dr AS (SELECT rep, s, {DRAWN} AS row FROM (SELECT rep, s, size, unnest(range(first, first + size)) AS draw FROM str, range(1000) AS t(rep))),
 sq AS (SELECT o_orderkey, output_name, (y - p) * (y - p) AS e2, (y - p2) * (y - p2) AS b2, r FROM cells JOIN ref USING (output_name, pos) WHERE r >= 1e-6),
-byo AS (SELECT rep, output_name, max(r) AS r, sum(w * e2) / sum(w) AS e2, sum(w * b2) / sum(w) AS b2 FROM sq JOIN idx USING (o_orderkey) JOIN mult USING (s, row) GROUP BY ALL),
-rv AS (SELECT rep, avg(sqrt(e2) / r) AS e2, avg(sqrt(b2) / r) AS b2 FROM byo GROUP BY rep)
+byo AS (SELECT rep, output_name, max(r) AS r, avg(e2) AS e2, avg(b2) AS b2 FROM sq JOIN idx USING (o_orderkey) JOIN dr USING (s, row) GROUP BY ALL),
+rv AS (SELECT rep, avg(sqrt(e2) / r) AS e2, avg(sqrt(b2) / r) AS b2 FROM byo GROUP BY rep),
+pt AS (SELECT avg(a / r) AS e2, avg(b / r) AS b2 FROM (SELECT sqrt(avg(e2)) AS a, sqrt(avg(b2)) AS b, max(r) AS r FROM sq GROUP BY output_name))
 SELECT {columns}"""
 
 
+def interval(value: str, point: str) -> str:
+    return f"""round((SELECT {point} FROM pt), 8) AS point_estimate, round(quantile_cont({value}, 0.025), 8) AS ci_lower, round(quantile_cont({value}, 0.975), 8) AS ci_upper,
+  round(avg({value}), 8) AS bootstrap_mean, round(stddev_samp({value}), 8) AS bootstrap_std FROM rv"""
+
+
 FIN = "isfinite({0})"
 NAMES = """names AS (SELECT DISTINCT unnest([p_type, p_type || '_sqrt', p_type || '_log1p', p_type || '_exp', '[' || p_type || ' * ' || p_brand || ']']) AS feature_name FROM part),
 bare AS (SELECT feature_name, CASE WHEN feature_name LIKE '[%]' THEN trim(substr(feature_name, 2, length(feature_name) - 2)) ELSE trim(feature_name) END AS b FROM names),
@@ -120,9 +124,34 @@ SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY
 e AS (SELECT output_name, sqrt(avg(pow(y - (my + b1 * (qty - mq) + b2 * (disc - md)), 2))) AS rmse, any_value(hi - lo) AS r FROM t JOIN fit USING (output_name) GROUP BY 1)
 SELECT output_name, round(rmse, 5) AS rmse, round(r, 5) AS ref_range, round(rmse / r, 5) AS nrmse, r >= 1e-6 AS included_in_macro FROM e""",
     "bootstrap_replicates": f"WITH {MODEL}, {CELLS}, {replicates('rep, round(e2, 8) AS macro_nrmse FROM rv')}",
-    "bootstrap_ci": f"WITH {MODEL}, {CELLS}, {replicates('round(quantile_cont(e2, 0.025), 8) AS ci_lower, round(quantile_cont(e2, 0.975), 8) AS ci_upper, round(avg(e2), 8) AS bootstrap_mean, round(stddev_samp(e2), 8) AS bootstrap_std FROM rv')}",
-    "stratified_bootstrap": f"WITH {MODEL}, {CELLS}, {replicates('rep, round(e2, 8) AS macro_nrmse FROM rv', None, 'o_orderpriority')}",
-    "paired_bootstrap": f"WITH {MODEL}, {CELLS}, {replicates('rep, round(e2 - b2, 8) AS difference FROM rv')}",
+    "bootstrap_ci": f"WITH {MODEL}, {CELLS}, {replicates(interval('e2', 'e2'))}",
+    "stratified_bootstrap": f"WITH {MODEL}, {CELLS}, {replicates(interval('e2', 'e2'), 'o_orderpriority')}",
+    "paired_bootstrap": f"WITH {MODEL}, {CELLS}, {replicates(interval('e2 - b2', 'e2 - b2'))}",
+    # errors after refits on both features, on one of them, or none
+    "support_thresholds": f"""WITH {PARTS}, {ols2("p", "WHERE partition = 'train'")},
+imp AS (SELECT avg(abs(b1 * sqrt(a) / sy)) AS iq, avg(abs(b2 * sqrt(d) / sy)) AS id FROM fit),
+v AS (SELECT 'price' AS output_name, qty, disc, price AS y FROM p WHERE partition = 'val' UNION ALL SELECT 'net', qty, disc, net FROM p WHERE partition = 'val'),
+sc AS (SELECT sqrt(avg(pow(y - (my + b1 * (qty - mq) + b2 * (disc - md)), 2))) AS two, sqrt(avg(pow(y - (my + u / a * (qty - mq)), 2))) AS q, sqrt(avg(pow(y - (my + w / d * (disc - md)), 2))) AS e FROM v JOIN fit USING (output_name))
+SELECT t AS threshold, (iq > t)::INT + (id > t)::INT AS n_selected, round(CASE WHEN iq > t AND id > t THEN two WHEN iq > t THEN q WHEN id > t THEN e ELSE 'inf'::DOUBLE END, 4) AS val_score
+FROM (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE)) AS th(t), imp, sc""",
+    # one component: the leading direction of the 2 x 2 correlations' products
+    "pls_fit": f"""WITH {MODEL}, {ols2('m')}, k AS (SELECT *, u / (sqrt(a) * sy) AS c1, w / (sqrt(d) * sy) AS c2, b / sqrt(a * d) AS rho FROM fit),
+mm AS (SELECT sum(c1 * c1) AS m11, sum(c1 * c2) AS m12, sum(c2 * c2) AS m22 FROM k),
+dir AS (SELECT m12 AS v1, (m11 + m22 + sqrt(pow(m11 - m22, 2) + 4 * m12 * m12)) / 2 - m11 AS v2 FROM mm),
+un AS (SELECT v1 / sqrt(v1 * v1 + v2 * v2) AS w1, v2 / sqrt(v1 * v1 + v2 * v2) AS w2 FROM dir),
+g AS (SELECT *, (w1 * c1 + w2 * c2) / (1 + 2 * rho * w1 * w2) * sy AS s FROM k, un)
+SELECT output_name, round(w1 * s / sqrt(a), 4) AS qty, round(w2 * s / sqrt(d), 4) AS disc, round(my - w1 * s / sqrt(a) * mq - w2 * s / sqrt(d) * md, 4) AS intercept FROM g""",
+    # the screen keeps both features
+    "canonical_workflow": f"""WITH {PARTS}, {ols2("p", "WHERE partition = 'train'")},
+idx AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('0|' || o_orderkey), o_orderkey) - 1 AS row FROM p WHERE partition = 'test'),
+t AS (SELECT o_orderkey, 'price' AS output_name, qty, disc, price AS y FROM p WHERE partition = 'test' UNION ALL SELECT o_orderkey, 'net', qty, disc, net FROM p WHERE partition = 'test'),
+sq AS (SELECT row, output_name, pow(y - (my + b1 * (qty - mq) + b2 * (disc - md)), 2) AS e2, hi - lo AS r FROM t JOIN fit USING (output_name) JOIN idx USING (o_orderkey)),
+n AS (SELECT count(*) AS size FROM idx),
+dr AS (SELECT rep, {DRAWN} AS row FROM (SELECT rep, size, unnest(range(size)) AS draw FROM n, range(1000) AS x(rep))),
+byo AS (SELECT rep, output_name, max(r) AS r, avg(e2) AS e2 FROM sq JOIN dr USING (row) GROUP BY ALL),
+rv AS (SELECT avg(sqrt(e2) / r) AS v FROM byo GROUP BY rep),
+pt AS (SELECT avg(rm / r) AS v FROM (SELECT sqrt(avg(e2)) AS rm, max(r) AS r FROM sq GROUP BY output_name))
+SELECT round((SELECT v FROM pt), 6) AS point_estimate, round(quantile_cont(v, 0.025), 6) AS ci_lower, round(quantile_cont(v, 0.975), 6) AS ci_upper, 2::BIGINT AS k_used, (SELECT size FROM n) AS holdout_rows, 2::BIGINT AS n_features FROM rv""",
     "standardization_frame": f"WITH {MODEL} SELECT 'price' AS output_name, 0 AS original_position, round(avg(price), 4) AS mean, round(stddev_pop(price), 4) AS scale FROM m UNION ALL SELECT 'net', 1, round(avg(net), 4), round(stddev_pop(net), 4) FROM m",
     "artifact_table": "SELECT * FROM (VALUES ('all_input_metadata', 0, 'metadata'), ('selected_input_metadata', 1, 'metadata'), ('output_metadata', 2, 'metadata'), ('coef_matrix_standardized', 3, 'coefficients'), ('coef_matrix_raw_scale', 4, 'coefficients'), ('x_standardization', 5, 'standardization'), ('y_standardization', 6, 'standardization'), ('nrmse_summary', 7, 'evaluation')) AS t(artifact_name, artifact_position, category)",
 }

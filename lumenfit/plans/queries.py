@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ def guess(m: DataFrame, a: float = 1530.0, b: float = 1460.0) -> DataFrame:
     return m.select("o_orderkey", (F.col("qty") * a).alias("price"), (F.col("qty") * b).alias("net"), F.lit(1.5).alias("flat"))
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """The table kept in executors (on disk where memory is short) while a query with several jobs runs over it."""
+    kept = df.persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_partitions(model(spark, sf), strata_column="o_orderpriority", keys=KEY)
 
@@ -62,7 +73,7 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def repeated_keys(spark, sf):
     """Key values of lineitem that occur more than once (P1, P2)."""
-    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").count().filter("count > 1").select("l_orderkey", "l_linenumber", F.col("count").alias("n"))
+    return validate.repeated_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query
@@ -84,11 +95,7 @@ def align_xy(spark, sf):
 @query
 def numeric_check(spark, sf):
     """Rows, and rows with a missing or non-finite value (P3)."""
-    m = model(spark, sf)
-    bad = F.lit(False)
-    for n in XS + YS:
-        bad = bad | (F.coalesce(c(n), F.lit(float("nan"))).isin(float("nan"), float("inf"), float("-inf")))
-    return m.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad"))
+    return validate.numeric_report(model(spark, sf), XS + YS)
 
 
 @query
@@ -142,9 +149,10 @@ def feature_expansion(spark, sf):
 @query
 def transform_validity(spark, sf):
     """Share of finite results of each transform of c_acctbal, which has negative values (F5)."""
-    d = table(spark, sf, "customer")
-    shares = [F.round(F.coalesce(F.avg(t.apply(F.col("c_acctbal")).isNotNull().cast("double")), F.lit(0.0)), 6).alias(t.label) for t in transforms.DEFAULT_TRANSFORM_LIBRARY]
-    return d.agg(*shares)
+    d = table(spark, sf, "customer").select("c_acctbal")
+    library = transforms.DEFAULT_TRANSFORM_LIBRARY
+    row = tuple(round(t.valid_fraction(d, "c_acctbal"), 6) for t in library)
+    return spark.createDataFrame([row], ", ".join(f"{t.label} double" for t in library))
 
 
 @query
@@ -195,8 +203,12 @@ def module_prefix(spark, sf):
 
 @query
 def standardizers(spark, sf):
-    m = moments(model(spark, sf), [], XS + YS)[()]
-    return rows_of(spark, [(n, i, float(a), float(s)) for i, (n, a, s) in enumerate(zip(XS + YS, m.y, m.y_scale, strict=True))], "name string, original_position int, mean double, scale double")
+    m = model(spark, sf)
+    x, y = m.select("o_orderkey", *XS), m.select("o_orderkey", *YS)
+    b = linear.fit_standardizers(x, x, y, y, keys=KEY)
+    means, scales = [*b.x_means, *b.y_means], [*b.x_scales, *b.y_scales]
+    rows = [(n, i, float(a), float(s)) for i, (n, a, s) in enumerate(zip(XS + YS, means, scales, strict=True))]
+    return rows_of(spark, rows, "name string, original_position int, mean double, scale double")
 
 
 @query
@@ -254,16 +266,18 @@ def coef_importance(spark, sf):
 @query
 def support_thresholds(spark, sf):
     """Validation error by importance threshold (L11)."""
-    p = parts(spark, sf)
-    sealed = split.SealedSplitResult(p.filter("partition = 'train'"), p.filter("partition = 'val'"), p, p.filter("partition = 'test'"))
-    r = linear.select_support_via_refit(XS, YS, sealed, [0.0, 0.01, 0.1])
+    with held(parts(spark, sf)) as p:
+        sealed = split.SealedSplitResult(p.filter("partition = 'train'"), p.filter("partition = 'val'"), p, p.filter("partition = 'test'"))
+        r = linear.select_support_via_refit(XS, YS, sealed, [0.0, 0.01, 0.1])
     return rows_of(spark, [(t["threshold"], t["n_selected"], t["val_score"]) for t in r.sensitivity_table], "threshold double, n_selected int, val_score double")
 
 
 @query
 def screening(spark, sf):
-    m = model(spark, sf).withColumn("noise", F.pmod(F.xxhash64("o_orderkey"), F.lit(1000)) / 1000)
-    r = linear.fit_multitask_elastic_net_screen(m.select("o_orderkey", *XS, "noise"), m.select("o_orderkey", *YS), keys=KEY, alphas=30, l1_ratio=(0.9, 1.0), selection_tol=1e-6)
+    noise = F.pmod(F.xxhash64("o_orderkey"), F.lit(1000)) / 1000
+    with held(model(spark, sf).withColumn("noise", noise)) as m:
+        x, y = m.select("o_orderkey", *XS, "noise"), m.select("o_orderkey", *YS)
+        r = linear.fit_multitask_elastic_net_screen(x, y, keys=KEY, selection_tol=1e-6)
     rows = [tuple(t.values()) for t in linear.screening_selection_table(r)]
     return rounded(spark.createDataFrame(rows, "feature_name string, original_position int, selected boolean, nonzero_output_count int, max_abs_coef double"))
 
@@ -277,12 +291,12 @@ def pls_fit(spark, sf):
 
 @query
 def baseline_comparison(spark, sf):
-    p = parts(spark, sf)
-    x = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *XS)
-    y = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *YS)
-    models = [baselines.RidgeBaseline(), baselines.PLSBaseline(2), baselines.ElasticNetBaseline(), baselines.OracleOLSBaseline(["qty"]), baselines.GBTBaseline(5)]
-    out = baselines.compare_baselines(models, x("train"), y("train"), x("test"), y("test"), keys=KEY)
-    return rounded(out.select("baseline", "pooled_rmse", "pooled_r2"))
+    models = [baselines.RidgeBaseline(), baselines.PLSBaseline(2), baselines.ElasticNetBaseline(), baselines.OracleOLSBaseline(["qty"]), baselines.GBTBaseline()]
+    with held(parts(spark, sf)) as p:
+        x = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *XS)
+        y = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *YS)
+        out = baselines.compare_baselines(models, x("train"), y("train"), x("test"), y("test"), keys=KEY)
+    return rounded(out.select("name", "rmse", "r2"))
 
 
 # ---- metrics
@@ -347,43 +361,44 @@ def holdout_nrmse(spark, sf):
     return rounded(metrics.per_output_nrmse_frame(test.select("o_orderkey", *YS), pred, train.select("o_orderkey", *YS), keys=KEY), 5)
 
 
-BOOT = 20
+# replicates: as many as the operators make by default, each of as many rows as the table has
+BOOT = 1000
+INTERVAL = ["ci_lower", "ci_upper", "bootstrap_mean", "bootstrap_std"]
 
 
-def _replicates(spark, m, strata=(), sample=None, columns=("e2",), err=None):
-    t = truth(m)
-    err = metrics.errors(t, guess(m), KEY) if err is None else err
-    included = metrics.per_output(err, metrics.ranges(t, KEY)).filter("included_in_macro")
-    rows = bootstrap.indexed(m.select("o_orderkey", *strata), KEY, strata)
-    reps = spark.range(BOOT).withColumnRenamed("id", "rep").repartition("rep")
-    return bootstrap.replicate_values(err, included, rows, reps, 123, KEY, sample, columns)
+def told(spark: SparkSession, found: dict, names: list[str]) -> DataFrame:
+    return rounded(spark.createDataFrame([tuple(float(found[n]) for n in names)], ", ".join(f"{n} double" for n in names)), 8)
 
 
 @query
 def bootstrap_replicates(spark, sf):
-    v = _replicates(spark, model(spark, sf), sample=500)
-    return rounded(v.select("rep", F.col("e2").alias("macro_nrmse")), 8)
+    m = model(spark, sf)
+    t = truth(m)
+    err = metrics.errors(t, guess(m), KEY)
+    included = metrics.per_output(err, metrics.ranges(t, KEY)).filter("included_in_macro")
+    values = bootstrap.replicate_values(err, included, bootstrap.indexed(m.select("o_orderkey"), KEY), range(BOOT), 123, KEY)
+    return rounded(values.select("rep", F.col("e2").alias("macro_nrmse")), 8)
 
 
 @query
 def bootstrap_ci(spark, sf):
-    v = _replicates(spark, model(spark, sf), sample=500)
-    return rounded(v.agg(F.percentile("e2", F.lit(0.025)).alias("ci_lower"), F.percentile("e2", F.lit(0.975)).alias("ci_upper"), F.avg("e2").alias("bootstrap_mean"), F.stddev_samp("e2").alias("bootstrap_std")), 8)
+    with held(model(spark, sf)) as m:
+        return told(spark, bootstrap.bootstrap_macro_nrmse_ci(truth(m), guess(m), truth(m), keys=KEY), ["point_estimate", *INTERVAL])
 
 
 @query
 def stratified_bootstrap(spark, sf):
-    v = _replicates(spark, model(spark, sf), ["o_orderpriority"])
-    return rounded(v.select("rep", F.col("e2").alias("macro_nrmse")), 8)
+    strata = ["o_orderpriority"]
+    with held(model(spark, sf)) as m:
+        found = bootstrap.stratified_bootstrap_macro_nrmse_ci(truth(m, *strata), guess(m), truth(m), keys=KEY, strata=strata, round_digits=None)
+    return told(spark, found, ["point_estimate", *INTERVAL])
 
 
 @query
 def paired_bootstrap(spark, sf):
-    m = model(spark, sf)
-    a, b = metrics.errors(truth(m), guess(m), KEY), metrics.errors(truth(m), guess(m, 1500.0, 1500.0), KEY)
-    err = a.join(b.select("o_orderkey", "output_name", F.col("e2").alias("b2")), ["o_orderkey", "output_name"])
-    v = _replicates(spark, m, columns=("e2", "b2"), sample=500, err=err)
-    return rounded(v.select("rep", (F.col("e2") - F.col("b2")).alias("difference")), 8)
+    with held(model(spark, sf)) as m:
+        found = bootstrap.bootstrap_paired_difference_ci(truth(m), guess(m), guess(m, 1500.0, 1500.0), truth(m), keys=KEY, round_digits=None)
+    return told(spark, found, ["point_estimate", *INTERVAL])
 
 
 # ---- artifacts and runs
@@ -408,8 +423,8 @@ def standardization_frame(spark, sf):
 
 @query
 def canonical_workflow(spark, sf):
-    p = parts(spark, sf)
-    x = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *XS)
-    y = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *YS)
-    run = workflow.run_canonical_workflow(x("train"), y("train"), x("test"), y("test"), keys=KEY, dataset_tag="orders", alphas=20)
+    with held(parts(spark, sf)) as p:
+        x = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *XS)
+        y = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *YS)
+        run = workflow.run_canonical_workflow(x("train"), y("train"), x("test"), y("test"), keys=KEY, dataset_tag="orders")
     return rounded(run.artifacts["nrmse_summary"].select("point_estimate", "ci_lower", "ci_upper", "k_used", "holdout_rows", "n_features"), 6)

@@ -30,19 +30,22 @@ class FrozenConfigStamp:
     frozen_at: str
 
 
-def config_hash(config: Any) -> str:
-    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
-
-
 def freeze_config(config: Any) -> FrozenConfigStamp:
-    return FrozenConfigStamp(config_hash(config), datetime.datetime.now(datetime.UTC).isoformat())
+    """A stamp that holds for exactly this configuration: the digest of its JSON text with sorted keys."""
+    digest = hashlib.sha256()
+    for piece in json.JSONEncoder(sort_keys=True, default=str).iterencode(config):
+        digest.update(piece.encode())
+    return FrozenConfigStamp(digest.hexdigest(), datetime.datetime.now(datetime.UTC).isoformat())
 
 
 def require_frozen_stamp(config: Any, stamp: FrozenConfigStamp | None) -> None:
-    if stamp is None:
-        raise FrozenConfigRequiredError("freeze_config(config) must come before sealed evaluation")
-    if config_hash(config) != stamp.config_hash:
-        raise ConfigDriftError("the configuration has changed since it was frozen")
+    """Nothing, if the stamp is this configuration's; else the error that says what is wrong with it."""
+    match stamp:
+        case FrozenConfigStamp(config_hash=known) if known == freeze_config(config).config_hash:
+            return
+        case None:
+            raise FrozenConfigRequiredError("no stamp: freeze the configuration before the sealed part is evaluated")
+    raise ConfigDriftError("the stamp belongs to another configuration")
 
 
 @dataclass(frozen=True)
@@ -54,14 +57,14 @@ class PostfitArtifactSpec:
 
 #: Names and order of a bundle's tables.
 POSTFIT_ARTIFACTS = [
-    PostfitArtifactSpec("all_input_metadata", "metadata", "Candidate inputs in original order"),
-    PostfitArtifactSpec("selected_input_metadata", "metadata", "Inputs that screening selected"),
-    PostfitArtifactSpec("output_metadata", "metadata", "Outputs in original order"),
-    PostfitArtifactSpec("coef_matrix_standardized", "coefficients", "Coefficients on standardised columns"),
-    PostfitArtifactSpec("coef_matrix_raw_scale", "coefficients", "Coefficients on raw columns"),
-    PostfitArtifactSpec("x_standardization", "standardization", "Means and scales of inputs"),
-    PostfitArtifactSpec("y_standardization", "standardization", "Means and scales of outputs"),
-    PostfitArtifactSpec("nrmse_summary", "evaluation", "Holdout error summary"),
+    PostfitArtifactSpec("all_input_metadata", "metadata", "One row for each column that screening was offered, with its place"),
+    PostfitArtifactSpec("selected_input_metadata", "metadata", "What the screen kept, numbered anew"),
+    PostfitArtifactSpec("output_metadata", "metadata", "One row for each modeled response, with its place"),
+    PostfitArtifactSpec("coef_matrix_standardized", "coefficients", "Responses by features, for z-scores of both sides"),
+    PostfitArtifactSpec("coef_matrix_raw_scale", "coefficients", "Responses by features, in the units of the data"),
+    PostfitArtifactSpec("x_standardization", "standardization", "Centre and spread of each feature in the training rows"),
+    PostfitArtifactSpec("y_standardization", "standardization", "Centre and spread of each response in the training rows"),
+    PostfitArtifactSpec("nrmse_summary", "evaluation", "One row: how far predictions are off on unseen rows"),
 ]
 #: Keys of a manifest.
 POSITION_MAPS = ["all_input_position_map", "selected_input_position_map", "retained_input_position_map", "output_position_map"]

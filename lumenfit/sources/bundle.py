@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfit.functions.columns import c
 from lumenfit.operators import linear, validate
 from lumenfit.sources.artifacts import MANIFEST_KEYS, POSITION_MAPS, build_position_map, canonical_postfit_artifact_names
 
@@ -109,17 +110,39 @@ def load_manifest(spark: SparkSession, root: str) -> dict[str, Any]:
     return m
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+#: Columns of the tables that aren't numbers, and of those that are whole ones; all others are doubles.
+TEXT = {"input_name", "output_name", "feature_name"}
+WHOLE = {"original_position"}
+
+
+def _csv(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A table by its header and the fixed kinds of its columns; names like 001 stay text."""
+    lines = spark.read.option("header", True).option("multiLine", True).csv(path)
+    if key != "nrmse_summary":
+        return lines.select(*(c(n) if n in TEXT else c(n).cast("int" if n in WHOLE else "double").alias(n) for n in lines.columns))
+    # the summary's columns vary: numbers where all values are
+    told = {n: c(n).try_cast("double") for n in lines.columns}
+    if not told:
+        return lines
+    odd = lines.agg(*(F.count_if(v.isNull() & c(n).isNotNull()).alias(f"n{i}") for i, (n, v) in enumerate(told.items()))).first()
+    return lines.select(*(c(n) if bad else v.alias(n) for (n, v), bad in zip(told.items(), odd, strict=True)))
+
+
+def _read(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """An artifact; only nrmse_summary may have no columns."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).option("inferSchema", True).csv(path)
+    table = spark.read.parquet(path) if path.endswith(".parquet") else _csv(spark, path, key)
+    if not table.columns and key != "nrmse_summary":
+        raise ValueError(f"bundle artifact {key!r} is empty")
+    return table
 
 
 def load_postfit_bundle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     files = load_manifest(spark, root)["files"]
     if lost := [n for n in canonical_postfit_artifact_names() if n not in files]:
         raise ValueError(f"the manifest names no {lost}")
-    return {n: _read(spark, artifact_path(root, files[n])) for n in canonical_postfit_artifact_names()}
+    return {n: _read(spark, artifact_path(root, files[n]), n) for n in canonical_postfit_artifact_names()}
 
 
 def predict_from_postfit_bundle(root: str, X: DataFrame, *, keys: list[str]) -> DataFrame:
@@ -130,7 +153,7 @@ def predict_from_postfit_bundle(root: str, X: DataFrame, *, keys: list[str]) ->
     xs, ys = m["retained_features"], m["output_names"]
     if lost := [n for n in xs if n not in X.columns]:
         raise ValueError(f"missing features {lost}")
-    coef, sx, sy = (_read(spark, artifact_path(root, m["files"][n])) for n in ("coef_matrix_raw_scale", "x_standardization", "y_standardization"))
+    coef, sx, sy = (_read(spark, artifact_path(root, m["files"][n]), n) for n in ("coef_matrix_raw_scale", "x_standardization", "y_standardization"))
     if coef.columns != ["output_name", *xs]:
         raise ValueError("coefficient columns don't match the manifest")
     by = {r[0]: [float(v) for v in r[1:]] for r in coef.collect()}  # outputs x features: the model itself
@@ -146,11 +169,3 @@ def predict_from_postfit_bundle(root: str, X: DataFrame, *, keys: list[str]) ->
     if not all(np.isfinite(v).all() for v in (B, *means)):
         raise ValueError("the bundle has non-finite values")
     return linear.project(validate.numeric(X, xs, "X"), keys, xs, ys, B, means[1] - B @ means[0])
-
-
-# ---- release manifests
-
-
-def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, size_bytes, sha256 of each file."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))

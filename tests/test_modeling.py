@@ -128,6 +128,8 @@ def test_validation(spark):
         validate.align_xy(a, spark.createDataFrame([(9, 1.0)], "id long, y double"), K)
     with pytest.raises(KeyError):
         validate.ensure_id_columns(a, ["nope"])
+    with pytest.raises(ValueError, match="non-finite"):
+        validate.numeric(spark.createDataFrame([(1, "ten")], "id long, x string"), ["x"])
 
 
 def test_metric_values(spark):
@@ -139,6 +141,97 @@ def test_metric_values(spark):
     assert none.macro_nrmse is None and none.k_used == 0
 
 
+def test_rows_must_match(spark):
+    """Predictions for some of the rows are an error, not a score of those rows."""
+    yt, yp = frame(spark, [[float(i)] for i in range(10)], ["y"]), frame(spark, [[float(i)] for i in range(3)], ["y"])
+    for got in (metrics.macro_nrmse_with_ref(yt, yp, yt, keys=K), metrics.macro_nrmse_with_ref(yp, yt, yt, keys=K), metrics.per_output_nrmse_frame(yt, yp, yt, keys=K)):
+        with pytest.raises(Exception, match="same rows"):
+            got.collect()
+    with pytest.raises(Exception, match="at least one"):
+        metrics.macro_nrmse_with_ref(yt.limit(0), yp.limit(0), yt, keys=K).collect()
+    x = yt.withColumnRenamed("y", "x")
+    for model in (baselines.RidgeBaseline(), baselines.PerStratumFirstOrderBaseline("x")):
+        with pytest.raises(Exception, match="same keys"):
+            model.fit(x.withColumn("z", F.col("x")), yp, keys=K)
+
+
+def test_missing_values_are_errors(spark):
+    rows = frame(spark, [[float(i), 2.0 * i] for i in range(20)], ["x", "y"])
+    holes = rows.withColumn("x", F.when(F.col("id") % 5 != 0, F.col("x")))
+    odd = rows.withColumn("y", F.when(F.col("id") == 3, F.lit(float("nan"))).otherwise(F.col("y")))
+    for route in (moments._native, moments._dense):
+        for bad in (holes, odd):
+            with pytest.raises(ValueError, match="missing or non-finite"):
+                route(bad, ["x"], ["y"], [])
+    with pytest.raises(ValueError, match="missing"):
+        baselines.RidgeBaseline().fit(holes.select("id", "x"), rows.select("id", "y"), keys=K)
+
+
+def test_comparison_harness(planted):
+    X, Y, dx, dy, names, outs = planted
+    strata = dx.select("id", (F.col("id") % 2).cast("string").alias("s"))
+    train, rest = (lambda d: d.filter("id < 150")), (lambda d: d.filter("id >= 150"))
+    extra = {"per_stratum": {"strata": strata.filter("id < 150")}}, {"per_stratum": {"strata": strata.filter("id >= 150")}}
+    models = [baselines.RidgeBaseline(1e-6), baselines.PerStratumFirstOrderBaseline("s"), baselines.GBTBaseline(3)]
+    table = baselines.compare_baselines(models, train(dx), train(dy), rest(dx), rest(dy), keys=K, fit_kwargs=extra[0], predict_kwargs=extra[1])
+    assert table.columns == ["name", "rmse", "r2", "model_size_bytes", "fit_time_s", "eval_time_s", "peak_memory_mb"]
+    got = {r.name: r for r in table.collect()}
+    one = np.c_[X[:150], np.ones(150)]
+    B = np.linalg.lstsq(one, Y[:150], rcond=None)[0]
+    err = Y[150:] - np.c_[X[150:], np.ones(50)] @ B
+    assert got["ridge"].rmse == pytest.approx(np.sqrt((err**2).mean()), rel=1e-4) and got["per_stratum"].r2 > 0.99
+    assert got["gbt"].model_size_bytes > 0 and got["gbt"].r2 < got["ridge"].r2
+    with pytest.raises(ValueError, match="match exactly"):
+        baselines.compare_baselines(models[:1], train(dx), train(dy), rest(dx).drop("x1"), rest(dy), keys=K)
+
+
+def test_rotated_outputs_give_the_same_fit():
+    rng = np.random.default_rng(4)
+    X, Y = rng.normal(size=(120, 4)), rng.normal(size=(120, 30))
+    Y[:, :5] += X @ rng.normal(size=(4, 5))
+    train, val = moments.Moments.of(X[:90], Y[:90]), moments.Moments.of(X[90:], Y[90:])
+    Q, R = solvers.rotation(train.sxy)
+    assert Q.shape == (30, 4) and np.allclose(R @ Q.T, train.sxy)
+    grid = solvers.alpha_grid(train.sxy, train.n, 0.7, 6)
+    want, W = [], None
+    for a in grid:
+        W = solvers.elastic_net(train.sxx, train.sxy, train.n, a, 0.7, 10_000, 1e-10, W)
+        want.append(val.sse(W.T, train.y - W.T @ train.x).sum())
+    dy = val.y - train.y
+    arrays = (train.sxx, R, val.sxx, val.sxy @ Q, val.x - train.x, dy @ Q, np.array([train.n, val.n, val.syy.sum() + val.n * (dy @ dy)], float))
+    got = linear.path_errors(np.concatenate([np.ravel(a) for a in arrays]), 4, 4, grid, 0.7, 10_000, 1e-10)
+    assert np.allclose(got, want, rtol=1e-6)
+
+
+def test_bootstrap_after_a_broken_run(spark, tmp_path):
+    y = np.random.default_rng(0).normal(size=(20, 1))
+    yt, yp = frame(spark, y, ["a"]), frame(spark, y + 0.1, ["a"])
+    args = dict(keys=K, n_boot=4, checkpoint_dir=str(tmp_path))
+    first = bootstrap.bootstrap_macro_nrmse_ci(yt, yp, yt, **args)
+    folder = next(tmp_path.iterdir())
+    files = sorted(folder.glob("*.parquet"))
+    files[0].write_bytes(b"no parquet")
+    for crc in folder.glob(".*.crc"):
+        crc.unlink()
+    again = bootstrap.bootstrap_macro_nrmse_ci(yt, yp, yt, **args)
+    for f in folder.glob("*"):
+        f.unlink()
+    empty = bootstrap.bootstrap_macro_nrmse_ci(yt, yp, yt, **args)  # the folder is there, without any data
+    assert first["n_valid_boot"] == again["n_valid_boot"] == empty["n_valid_boot"] == 4 and first["ci_lower"] == pytest.approx(again["ci_lower"])
+
+
+def test_bootstrap_routes_agree(spark):
+    rng = np.random.default_rng(0)
+    y = rng.normal(size=(50, 2))
+    yt, yp = frame(spark, y, ["a", "b"]), frame(spark, y + rng.normal(size=(50, 2)), ["a", "b"])
+    err, rows = metrics.errors(yt, yp, K), bootstrap.indexed(yt.select("id"), K)
+    included = metrics.per_output(err, metrics.ranges(yt, K)).filter("included_in_macro")
+    bootstrap.DRAWS, was = 7, bootstrap.DRAWS
+    one, two = ({r.rep: r.e2 for r in bootstrap.replicate_values(err, included, rows, [0, 1, 5], 9, K, most_broadcast=m).collect()} for m in (10**6, 0))
+    bootstrap.DRAWS = was
+    assert one.keys() == {0, 1, 5} and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
 def test_bootstrap_resumes(spark, tmp_path):
     rng = np.random.default_rng(0)
     y = rng.normal(size=(30, 2))
@@ -164,7 +257,7 @@ def test_stratified_and_paired_bootstrap(spark):
     d = bootstrap.bootstrap_paired_difference_ci(yt, good, bad, yt, keys=K, n_boot=20)
     assert d["ci_upper"] < 0
     rows = bootstrap.indexed(st.select("id", "s"), K, ["s"])
-    w = bootstrap.multiplicities(rows, spark.range(3).withColumnRenamed("id", "rep"), 5)
+    w = bootstrap.multiplicities(rows, range(3), 5)
     assert sorted(tuple(x) for x in w.groupBy("rep", "_first").agg(F.sum("w")).collect()) == sorted((i, f, n) for i in range(3) for f, n in ((0, 30), (30, 10)))
 
 
@@ -183,7 +276,7 @@ def test_workflow_and_bundle(spark, tmp_path):
     rng = np.random.default_rng(9)
     X = rng.normal(size=(40, 3))
     Y = np.c_[1 + 2 * X[:, 0] - X[:, 1], -0.5 + 0.75 * X[:, 0] + 0.5 * X[:, 1]]
-    xs, ys = ["x1", "x2", "x*3"], ["y1", "y2"]
+    xs, ys = ["x1", "x2", "x*3"], ["001", "y2"]
     f = lambda a, n, lo, hi: frame(spark, a[lo:hi], n, lo)
     run = workflow.run_canonical_workflow(f(X, xs, 0, 32), f(Y, ys, 0, 32), f(X, xs, 32, 40), f(Y, ys, 32, 40), keys=K, dataset_tag="t", alphas=15, n_boot=10)
     assert {"x1", "x2"} <= set(run.screening.selected_features) and run.holdout_summary["point_estimate"] < 1e-6
@@ -226,3 +319,35 @@ def test_canonical_query_draws_all_rows(spark):
     got = q.canonical_workflow(spark, data).first()
     assert got.holdout_rows == n and got.n_features == 2
     assert [got.ci_lower, got.ci_upper] == pytest.approx(np.percentile(values, [2.5, 97.5]).tolist(), abs=2e-6)
+
+
+def test_streams(spark, tmp_path):
+    """Scores and windowed errors of a file stream are those of a batch; late records are left out."""
+    import datetime
+
+    from lumenfit import streaming
+
+    X = np.array([[1, 2], [2, 1], [3, 5], [4, 4], [5, 0.0]])
+    Y = 1.5 + 2 * X[:, :1] - X[:, 1:]
+    fit = linear.fit_final_ols(frame(spark, X, ["x1", "x2"]), frame(spark, Y, ["y"]), keys=K)
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    rows = [(at(0), 1.0, 2.0, 1.5), (at(4), 2.0, 1.0, 5.5), (at(12), 3.0, 5.0, 2.5), (at(50), 0.0, 0.0, 1.5)]
+    late = [(at(1), 9.0, 9.0, 0.0), (at(55), 0.0, 0.0, 2.5), (at(59), 1.0, None, 2.5)]
+    schema, source = "ts timestamp, x1 double, x2 double, y double", str(tmp_path / "in")
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    out = streaming.windowed_rmse(fit, stream, time="ts", window="10 minutes", late="5 minutes")
+    run = out.writeStream.format("memory").queryName("rmse").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).start()
+    run.processAllAvailable()
+    spark.createDataFrame(late, schema).write.mode("append").parquet(source)
+    run.processAllAvailable()
+    run.stop()
+    got: dict = {}
+    for r in spark.table("rmse").collect():
+        got[r.window.start.minute] = max(got.get(r.window.start.minute, (0, 0.0)), (r.n, round(r.rmse_y, 6)))
+    # minute 0: errors 0 and 0 + 1; the late record would make it 3 rows
+    assert got[0] == (2, round(float(np.sqrt(((5.5 - 4.5) ** 2) / 2)), 6)) and got[10][0] == 1 and got[50][0] == 3
+    batch = streaming.score_stream(fit, spark.createDataFrame(rows, schema), keep=["ts"]).orderBy("ts").collect()
+    assert [r.pred_y for r in batch] == pytest.approx([1.5, 4.5, 2.5, 1.5])
+    with pytest.raises(ValueError, match="missing"):
+        streaming.score_stream(fit, spark.createDataFrame(rows, schema).drop("x1"), keep=["ts"])
