@@ -94,19 +94,22 @@ def format_conversations(df: DataFrame, tokenizer: str, trained: str = TRAINED)
 
     ids, offsets (pairs of code points) and mask are little-endian u32, u32 and
     u8 arrays.  Rows are taken by turn (null first; ties by role, then text, so
-    repeated rows stay).  Null text is an empty text, a null role stays null, and
-    rows without conv_id make one conversation.  Further columns are not read.
-    A conversation is one output row, so its turns meet in one task.
+    repeated rows stay).  Null text is an empty text, and a null role stays null.
+    Rows without conv_id belong to no conversation: each makes one of its own
+    (equal ones one), with a null conv_id.  Further columns are not read.  A
+    conversation is one output row, so its turns meet in one task; long texts
+    are rendered and encoded whole.
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), common.text_of().alias("text"))
-    grouped = df.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    grouped = df.groupBy(F.col("conv_id").cast("long").alias("conv_id"), alone.alias("alone")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
     flat = grouped.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = chat_tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, roles, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+            for at in range(0, batch.num_rows, 64):
+                ids, roles, texts = (c.to_pylist() for c in batch.slice(at, 64).columns)
                 done = [render(list(zip(r, t, strict=True)), trained) for r, t in zip(roles, texts, strict=True)]
                 coded = tok.encode_batch([d[0] for d in done], add_special_tokens=False)
                 cols: list[list] = [[], [], []]

@@ -31,27 +31,25 @@ def wide_hash(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), canon)), 16, "0") for seed in range(4))))
 
 
-def same_key(a: DataFrame, b: DataFrame, names: list[tuple[str, str]]) -> Column:
-    on = F.lit(True)
-    for x, y in names:
-        on = on & a[x].eqNullSafe(b[y])
-    return on
-
-
 def verified_classes(rows: DataFrame) -> DataFrame:
-    """class_id of rows (doc_id, fingerprint, canon): the least doc_id with the same canonical bytes.
+    """class_id of rows (doc_id, fingerprint, canon): the least doc_id with the same canonical bytes; rows must be stored.
 
     canon may be null where the fingerprint occurs once.  Copies collapse before
-    they are shuffled, as the bytes are a grouping key; only buckets that hold
-    different texts (a hash collision) are joined by their bytes.
+    they are shuffled, as the bytes are a grouping key.  Buckets are compared
+    first; only if one holds different texts (a hash collision) are rows joined
+    by their bytes too.
     """
     texts = rows.filter("canon IS NOT NULL").groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("least"))
-    buckets = texts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("texts"), F.min("least").alias("least"))
-    one = buckets.filter("texts = 1").select(F.col("fingerprint").alias("f1"), F.col("least").alias("one"))
-    clash = texts.join(buckets.filter("texts > 1").select("fingerprint"), "fingerprint").select(F.col("fingerprint").alias("f2"), F.col("canon").alias("c2"), F.col("least").alias("two"))
+    buckets = common.stash(texts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("texts"), F.min("least").alias("one")), "buckets")
+    one = buckets.filter("texts = 1").select(F.col("fingerprint").alias("f1"), "one")
+    clashing = buckets.filter("texts > 1").select("fingerprint")
+    if clashing.isEmpty():
+        out = rows.drop("canon").join(one, F.col("fingerprint") == F.col("f1"), "left")
+        return out.withColumn("class_id", F.coalesce("one", "doc_id")).drop("f1", "one")
     out = rows.join(one, F.col("fingerprint") == F.col("f1"), "left")
+    clash = texts.join(clashing, "fingerprint").select(F.col("fingerprint").alias("f2"), F.col("canon").alias("c2"), F.col("least").alias("two"))
     out = out.join(clash, (F.col("fingerprint") == F.col("f2")) & (F.col("canon") == F.col("c2")), "left")
-    return out.withColumn("class_id", F.coalesce("one", "two", "doc_id")).drop("f1", "f2", "c2", "one", "two")
+    return out.withColumn("class_id", F.coalesce("one", "two", "doc_id")).drop("f1", "f2", "c2", "one", "two", "canon")
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
@@ -61,9 +59,11 @@ def next_documents(keys: DataFrame) -> DataFrame:
     ranges by the first key of each, of which there are as many as ranges.
     """
     order = [F.desc_nulls_last("doc_id"), F.asc("h")]
-    dealt = keys.select("doc_id", "h").distinct().repartitionByRange(4 * common.shuffle_width(keys.sparkSession), *order[:1]).withColumn("range", F.spark_partition_id())
+    dealt = keys.select("doc_id", "h").distinct().repartitionByRange(4 * common.shuffle_width(keys.sparkSession), *order)
     in_range = W.partitionBy("range").orderBy(*order)
-    linked = dealt.withColumn("next", F.lead(F.struct("doc_id", "h")).over(in_range)).withColumn("place", F.row_number().over(in_range))
+    dealt = dealt.withColumn("range", F.spark_partition_id())
+    # stored, as ranges rest on a sample: both uses must see the same ones
+    linked = common.stash(dealt.withColumn("next", F.lead(F.struct("doc_id", "h")).over(in_range)).withColumn("place", F.row_number().over(in_range)), "linked")
     firsts = linked.filter("place = 1").select(F.col("range").alias("r"), F.struct("doc_id", "h").alias("first"))
     ring = firsts.groupBy().agg(F.sort_array(F.collect_list(F.struct("r", "first"))).alias("all"))
     ahead = ring.select(F.posexplode("all").alias("i", "x"), "all").select(F.col("x.r").alias("r"), F.col("all")[(F.col("i") + 1) % F.size("all")]["first"].alias("ahead"))
@@ -88,7 +88,8 @@ def fingerprint_report(df: DataFrame) -> DataFrame:
     Null text is an empty text; rows without doc_id come last in the order; rows
     with one doc_id are ordered by a hash of their text, and repeated rows count
     as one there, but each is reported.  A sole document succeeds itself.  Other
-    columns are not read.
+    columns are not read.  Whole texts are compared, however long.  An empty table
+    gives no rows.
     """
     marks = common.stash(fingerprints(df), "fingerprints")
     distinct = marks.dropDuplicates(["doc_id", "h"])
@@ -115,6 +116,7 @@ def fingerprint_report(df: DataFrame) -> DataFrame:
     )
     done = canon.select("doc_id", "n_chars", "edited_sha256", "fingerprint", wide_hash(F.col("edited_canon")).alias("edited_fingerprint"), "next_fp", "canon")
     done = common.stash(done, "edited")
+    common.discard(marks, plan)
     like = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
     out = verified_classes(done)
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fp").alias("near_next"), "class_id")

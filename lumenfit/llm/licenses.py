@@ -6,7 +6,9 @@ looked for in stretches of words, wherever they begin and end.  Dice of two sets
 t unless t / (2 - t) <= a / b <= (2 - t) / t, so a stretch meets only templates
 of about its size; and it shares at least t / (2 - t) of a template's bigrams,
 so it holds one of the template's *anchor* words.  Texts without anchors are
-passed over by one regular expression.
+passed over by one regular expression.  A stretch ends where all that its first
+line has stands in later lines too: without that line it is as good.  So time
+grows with the text, times the templates' bigrams at most.
 """
 
 from __future__ import annotations
@@ -60,7 +62,15 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Unlicense-line": "This software is released under the Unlicense.",
     "Proprietary": "All rights reserved.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
 }
+#: What the three-clause licence has besides.
+_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY"
+TEMPLATES["BSD-3-Clause-text"] = TEMPLATES["BSD-2-Clause-text"].replace(" THIS SOFTWARE IS PROVIDED BY", _THIRD)
 
 WORD = re.compile(r"\w+")
 
@@ -108,23 +118,32 @@ class TemplateIndex:
                 lines.append((at, at + len(line), ws))
             at += len(line) + 1
         held = [bigrams(ws) for _, _, ws in lines]
+        joints = [{(a[2][-1], b[2][0])} for a, b in zip(lines, lines[1:], strict=False)]
         best: dict[str, tuple[float, int, int]] = {}
-        for i, (start, _, ws) in enumerate(lines):
-            after = {(ws[-1], lines[i + 1][2][0])} if i + 1 < len(lines) else set()
-            if not any(p in self.touch for p in held[i] | after):
+        for i, (start, _, _) in enumerate(lines):
+            own = held[i] | joints[i] if i < len(joints) else held[i]
+            if not any(p in self.touch for p in own):
                 continue  # no best stretch begins with a line that shares nothing
-            got: set = set()
-            last = None
+            got, rest, met = set(held[i]), set(own), Counter(k for p in held[i] for k in self.touch.get(p, ()))
+            new = True
             for j in range(i, len(lines)):
-                if last is not None:
-                    got.add((last, lines[j][2][0]))
-                got |= held[j]
-                last = lines[j][2][-1]
+                if j > i:
+                    more = joints[j - 1] | held[j]
+                    # once the lines behind have all that the first one has, they do as well without it
+                    rest -= held[j] if j == i + 1 else more
+                    if not rest:
+                        break
+                    more -= got
+                    new = bool(more)
+                    got |= more
+                    met.update(k for p in more for k in self.touch.get(p, ()))
                 if len(got) > self.most:
                     break
-                for k in {k for p in got for k in self.touch.get(p, ())}:
+                if not new:
+                    continue
+                for k, n in met.items():
                     lo, hi = self.sizes[k]
-                    if lo <= len(got) <= hi and (d := dice(got, self.grams[k])) >= self.threshold and d > best.get(k, (0.0, 0, 0))[0]:
+                    if lo <= len(got) <= hi and (d := 2 * n / (len(got) + len(self.grams[k]))) >= self.threshold and d > best.get(k, (0.0, 0, 0))[0]:
                         best[k] = (d, start, lines[j][1])
         self.inside(text, best)
         return [(k, *v) for k, v in sorted(best.items())]
@@ -172,7 +191,8 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, thresh
 
     ``df`` has doc_id and text; further columns are not read.  Null and empty
     texts, and templates of less than two words, match nothing.  Repeated rows
-    are scanned one by one; of equally good stretches the first is told.
+    are scanned one by one; of equally good stretches a short one is told, and the
+    first of those.  Whole texts are scanned, however long.
     """
     index = TemplateIndex(TEMPLATES if templates is None else templates, threshold)
 

@@ -248,3 +248,31 @@ def test_op7_all_stretches_of_words():
         best: dict = {}
         index.inside(" ".join(ws), best)
         assert {n: b[0] for n, b in best.items()} == pytest.approx(want), ws
+
+
+def test_op7_repeated_lines_take_linear_time():
+    import time
+
+    index = licenses.TemplateIndex(licenses.TEMPLATES, 0.8)
+    line = "Licensed under the Apache License, Version 2.0 (the Licence)"
+    seconds = []
+    for n in (10_000, 100_000):
+        begin = time.perf_counter()
+        found = dict((k, d) for k, d, *_ in index.scan("\n".join([line] * n)))
+        seconds.append(time.perf_counter() - begin)
+        assert found["Apache-2.0-line"] == max(plain_licenses(line).values())
+    assert seconds[1] < 30 * seconds[0] + 2 and seconds[1] < 60, seconds
+    two = "\n".join(["All rights reserved.", "by the author of"] * 20_000)
+    assert dict((k, d) for k, d, *_ in index.scan(two))["Proprietary"] == 1.0
+
+
+def test_op7_bound_itself():
+    """A stretch of just the size that the bounds allow: 2 shared of 3 and 2 bigrams."""
+    index = licenses.TemplateIndex({"P": "All rights reserved."}, 0.8)
+    assert [(k, d) for k, d, *_ in index.scan("all\nrights reserved now")] == [("P", 0.8)]
+    whole = licenses.TemplateIndex(licenses.TEMPLATES, 0.8)
+    for k in ("MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "Zlib-text"):
+        ws = licenses.TEMPLATES[k].split()
+        text = "Copyright someone\n" + "\n".join(" ".join(ws[i : i + 11]) for i in range(0, len(ws), 11)) + "\nand code"
+        got = {n: d for n, d, *_ in whole.scan(text)}
+        assert got[k] > 0.97 and max(got, key=got.get).split("-")[0] == k.split("-")[0]

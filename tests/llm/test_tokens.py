@@ -155,10 +155,14 @@ def test_op10_round_trip(spark):
         for turn in range(rng.randrange(1, 7)):
             rows.append((conv, turn, rng.choice(["user", "assistant", "system", "we<t>ird\n", None]), rng.choice([None, *("".join(rng.choice(BITS) for _ in range(rng.randrange(5))) for _ in range(5))])))
     rows += [(None, None, "user", "x"), (None, 1, "assistant", HARD), (7, 0, "assistant", "repeated"), (7, 0, "assistant", "repeated")]
+    rows.append((500, 0, "assistant", "long é " * 100_000))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df, BYTE)).collect()}
+    out = chat.read_back(chat.format_conversations(df, BYTE)).collect()
+    assert sum(r.conv_id is None for r in out) == 2  # rows without conv_id are conversations of their own
+    got = {r.conv_id if r.conv_id is not None else ("none", r.loss_chars): r for r in out}
     by: dict = {}
     for conv, turn, role, text in rows:
+        conv = conv if conv is not None else ("none", len(text) if role == "assistant" else 0)
         by.setdefault(conv, []).append(((turn is not None, turn or 0), (role is not None, role or ""), text or "", role))
     assert got.keys() == by.keys()
     for conv, turns in by.items():
