@@ -110,8 +110,8 @@ TOLD = "pack long, bucket long, answer binary"
 def answers(packs: DataFrame, buckets: int, ask: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]], answer: Callable, name: str) -> DataFrame:
     """pack, bucket, answer: a byte for each hash that the pack has sent to the bucket; a stashed table.
 
-    ask(texts, doc) gives a pack's sorted distinct hashes, of BITS bits, and one
-    number for each; answer(hash, number) gives the byte of each of a bucket's,
+    ask(texts, doc) gives a pack's sorted distinct hashes, of BITS bits, and a
+    number (or a row of them) for each; answer(hash, number) gives the byte of each of a bucket's,
     which come as one array, pack after pack.
     """
     wide = -(-(1 << BITS) // buckets)
@@ -134,7 +134,8 @@ def answers(packs: DataFrame, buckets: int, ask: Callable[[list[bytes], np.ndarr
         bucket, pack, n = table.column("bucket")[0].as_py(), table.column("pack").to_pylist(), table.column("n").to_pylist()
         hashes = np.concatenate([from_planes(unpress(h), k) for h, k in zip(table.column("hashes").to_pylist(), n, strict=True)])
         numbers = np.concatenate([np.frombuffer(unpress(x), "<i8") for x in table.column("extra").to_pylist()])
-        told = answer(hashes, numbers).astype(np.uint8)
+        columns = len(numbers) // len(hashes)
+        told = answer(hashes, numbers if columns == 1 else numbers.reshape(-1, columns)).astype(np.uint8)
         ends = np.cumsum(n)
         return pa.table({"pack": pack, "bucket": pa.array([bucket] * len(pack), pa.int64()), "answer": pa.array([told[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary())})
 

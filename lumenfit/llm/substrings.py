@@ -3,22 +3,20 @@
 Each byte that a 50-byte string covers goes if that string also starts in a
 document with a smaller doc_id.  The corpus doesn't fit one suffix array, so
 work is dealt by *anchors*: of each 50-byte window, the 16-byte gram with the
-least hash.  Equal windows have equal anchors.  A run of windows with one anchor
-is one entry: the hash of its gram, and of its *context*, the bytes that the
-windows cover.
-
-1. Tasks find entries; of equal contexts in a batch only the least document's
-   goes on, the others are removed at once.
-2. Entries meet by gram.  Equal contexts: all but the least document's windows
-   go.  An entry whose 16 bytes left or right of the gram are met in another
-   context, of another document, stays open.
-3. Texts meet those decisions.  Open contexts are dealt by gram to suffix
-   arrays: their window suffixes are sorted, neighbours' common prefixes give
-   the interval tree by a stack scan, and intervals whose left extensions differ
-   are maximal repeats, told with all occurrences.
-4. Grams that very many documents have in different contexts (found in a
-   sample; that only chooses the way) don't meet in one task: their windows'
-   hashes are aggregated instead.
+least hash.  A run of windows with one anchor has two halves, by the side of the
+gram that has 16 further bytes inside the window; a half's *key* is the hash of
+these 32 bytes.  Equal windows have equal keys; hashes only say who meets.
+
+1. Packs of texts ask which keys stand in several documents.
+2. The *contexts* of such keys (the bytes that a half's windows cover) are
+   dealt by key.  Equal contexts, compared byte by byte, are one leaf with
+   several occurrences, in a pack first and then over all.
+3. Where a key has several contexts, their windows' suffixes are sorted;
+   neighbours' common prefixes give the interval tree by a stack scan, and
+   intervals whose left extensions differ are maximal repeats, told with all
+   occurrences.  Of a leaf and of a repeat all but the least document's go.
+4. A key with more than ``crowd`` contexts doesn't meet in one task: its windows
+   themselves, 50 bytes each, are aggregated, which finds the same ones.
 """
 
 from __future__ import annotations
@@ -28,32 +26,37 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfit.llm import common
-from lumenfit.llm.bytehash import BYTES, Spans, U, ragged
+from lumenfit.llm import common, packs
+from lumenfit.llm.bytehash import BASE, BYTES, Spans, U, ragged
 
 SPAN, GRAM = 50, 16
 SIDE = SPAN - GRAM  # windows that a gram can be in, less one
-LAST = (1 << 63) - 1  # stands for a missing doc_id
-#: Bytes hashed at once, and bytes of text whose entries leave together.
-BATCH, BLOCK = 1 << 20, 8 << 20
+NEAR = SPAN - 2 * GRAM - 1  # a window that starts at most so far before its gram holds 16 bytes behind it
+WIDEST = SPAN + NEAR  # bytes of a context at most
+#: Bytes hashed at once.
+BATCH = 1 << 20
 #: A longer text is cut into pieces; positions of anchors have 24 bits.
 PIECE = 1 << 23
+#: Windows in one suffix array, about.
+SUFFIXES = 1 << 18
+MANY = np.iinfo(np.int64).min  # a key that several documents of a pack have
 
-ENTRY = np.dtype([("gram", "<u4"), ("left", "<u2"), ("right", "<u2"), ("context", "<u8"), ("at", "<u4"), ("windows", "u1"), ("gap", "u1"), ("doc", "<i8"), ("row", "<u8")])
-MARK = np.dtype([("doc", "<i8"), ("row", "<u8"), ("start", "<u4"), ("end", "<u4"), ("bucket", "<i8"), ("gram", "<u4"), ("kind", "u1"), ("gap", "u1")])
-REMOVE, OPEN, HOT = 0, 1, 2
+MARK = np.dtype([("row", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(whole gram hash, entry without doc and row, text number) of the texts that lie in raw one after another."""
-    none = np.empty(0, np.uint64), np.empty(0, ENTRY), np.empty(0, np.int64)
+def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Spans, tuple]:
+    """Hashes of the bytes, and (first window, last window, anchor, text number) of each run of windows with one anchor.
+
+    Texts lie in raw one after another.
+    """
     n = np.maximum(ends - starts - SPAN + 1, 0)
-    if not n.sum():
-        return none
     spans = Spans(BYTES[raw])
+    if not n.sum():
+        return spans, (np.empty(0, np.int64),) * 4
     grams = spans.all(GRAM)
     low = U((1 << 24) - 1)
     least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -62,17 +65,8 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     where = ragged(starts, n)
     text = np.repeat(np.arange(len(starts)), n)
     anchor = (least[where] & low).astype(np.int64)
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]
-    at = np.flatnonzero(new)
-    first, last, anchor, text = where[at], where[np.r_[at[1:], len(where)] - 1], anchor[at], text[at]
-    out = np.zeros(len(at), ENTRY)
-    whole = grams[anchor]
-    out["gram"], out["context"] = whole >> U(32), spans.of(first, last + SPAN)
-    # of 16 bytes to either side, as far as the text goes; windows need one of them whole
-    out["left"] = spans.of(np.maximum(anchor - GRAM, starts[text]), anchor) & U(0xFFFF)
-    out["right"] = spans.of(anchor + GRAM, np.minimum(anchor + 2 * GRAM, ends[text])) & U(0xFFFF)
-    out["at"], out["windows"], out["gap"] = first - starts[text], last - first, anchor - first
-    return whole, out, text
+    at = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
+    return spans, (where[at], where[np.r_[at[1:], len(where)] - 1], anchor[at], text[at])
 
 
 def batches_of(texts: list[bytes], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -88,18 +82,23 @@ def batches_of(texts: list[bytes], most: int) -> Iterator[tuple[int, np.ndarray,
         k = to
 
 
-def entries(docs: np.ndarray, rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    whole, out = [], []
+def halves(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(key, context hash, first window, last window, text number) of all halves; places are those in their text."""
+    out: list[tuple] = []
     for k, raw, starts, ends in batches_of(texts, BATCH):
         # only a text that stands alone has several pieces; each window lies in one
-        for first in range(0, len(raw), PIECE):
-            to = first + PIECE + SPAN - 1
-            w, e, text = anchors(raw[first:to], np.maximum(starts - first, 0), np.minimum(ends, to) - first)
-            e["at"] += first
-            e["doc"], e["row"] = docs[k + text], rows[k + text]
-            whole.append(w)
-            out.append(e)
-    return (np.concatenate(whole), np.concatenate(out)) if out else (np.empty(0, np.uint64), np.empty(0, ENTRY))
+        for cut in range(0, len(raw), PIECE):
+            to = cut + PIECE + SPAN - 1
+            begin = np.maximum(starts - cut, 0)
+            spans, (first, last, anchor, text) = anchors(raw[cut:to], begin, np.minimum(ends, to) - cut)
+            for lo, hi, at, salt in ((np.maximum(first, anchor - NEAR), last, anchor, 0), (first, np.minimum(last, anchor - NEAR - 1), anchor - GRAM, BASE)):
+                some = lo <= hi
+                lo, hi, at, of = lo[some], hi[some], at[some], text[some]
+                key = (spans.of(at, at + 2 * GRAM) ^ U(salt)) >> U(64 - packs.BITS)
+                out.append((key, spans.of(lo, hi + SPAN), lo + cut - starts[of], hi + cut - starts[of], k + of))
+    if not out:
+        return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -112,22 +111,43 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def marks_of(e: np.ndarray, kind: int, bucket: int | np.ndarray = 0) -> np.ndarray:
-    out = np.zeros(len(e), MARK)
-    for k in ("doc", "row", "gram", "gap"):
-        out[k] = e[k]
-    out["start"], out["end"], out["kind"], out["bucket"] = e["at"], e["at"] + SPAN + e["windows"].astype(np.uint32), kind, bucket
+def ask(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A pack's distinct keys, and for each its document (MANY for several) and its number of contexts."""
+    key, context, _, _, text = halves(texts)
+    order = np.lexsort((context, key))
+    key, context, doc = key[order], context[order], doc[text[order]]
+    at = runs(key)
+    if not len(at):
+        return key, np.empty((0, 2), np.int64)
+    new = np.zeros(len(key), np.int64)
+    new[runs(key, context)] = 1
+    low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+    return key[at], np.c_[np.where(low == high, low, MANY), np.add.reduceat(new, at)]
+
+
+APART, SHARED, HOT = 0, 1, 2
+
+
+def answer(keys: np.ndarray, told: np.ndarray, crowd: int) -> np.ndarray:
+    """Of each key: whether several documents have it, and whether in more than ``crowd`` contexts."""
+    order = np.argsort(keys, kind="stable")
+    at = runs(keys[order])
+    doc, n = told[order, 0], told[order, 1]
+    low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+    kind = np.where((low == high) & (low != MANY), APART, np.where(np.add.reduceat(n, at) > crowd, HOT, SHARED))
+    out = np.empty(len(keys), np.uint8)
+    out[order] = np.repeat(kind, np.diff(np.r_[at, len(keys)]))
     return out
 
 
 def joined(marks: np.ndarray) -> np.ndarray:
     """Spans to remove, overlapping and adjoining ones of a row made one."""
-    m = marks[np.lexsort((marks["start"], marks["row"], marks["doc"]))]
+    m = marks[np.lexsort((marks["start"], marks["row"]))]
     if not len(m):
         return m
     # ends grow with starts unless spans are nested; a running maximum within each row settles that
     group = np.zeros(len(m), np.int64)
-    group[runs(m["doc"], m["row"])] = 1
+    group[runs(m["row"])] = 1
     top = np.maximum.accumulate((np.cumsum(group) << 32) + m["end"].astype(np.int64)) & 0xFFFFFFFF
     new = group.astype(bool)
     new[1:] |= m["start"][1:].astype(np.int64) > top[:-1]
@@ -137,81 +157,24 @@ def joined(marks: np.ndarray) -> np.ndarray:
     return out
 
 
-DEALT = "bucket long, is_marks boolean, payload binary"
+def marks_of(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(row), MARK)
+    out["row"], out["start"], out["end"] = row, start, end
+    return out
 
 
-def dealt(keys: np.ndarray, values: np.ndarray, flag: bool | None = None) -> pa.RecordBatch:
-    """One row for each key, with its values' bytes."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    at = runs(keys)
-    to = np.r_[at[1:], len(keys)]
-    cols = [pa.array(keys[at].astype(np.int64)), pa.array([values[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary())]
-    names = ["bucket", "payload"]
-    if flag is not None:
-        cols, names = [cols[0], pa.array([flag] * len(at)), cols[1]], ["bucket", "is_marks", "payload"]
-    return pa.RecordBatch.from_arrays(cols, names)
-
-
-def columns(e: np.ndarray) -> bytes:
-    """Entries field by field, which compresses better than record by record; doc and row are told once for neighbours."""
-    at = runs(e["doc"], e["row"]) if len(e) else np.empty(0, np.int64)
-    head = np.array([len(e), len(at)], "<u4").tobytes()
-    return head + b"".join([e["doc"][at].tobytes(), e["row"][at].tobytes(), np.diff(np.r_[at, len(e)]).astype("<u4").tobytes(), *(np.ascontiguousarray(e[k]).tobytes() for k in ENTRY.names[:7])])
-
-
-def from_columns(data: bytes) -> np.ndarray:
-    n, k = np.frombuffer(data, "<u4", 2)
-    out, at = np.empty(int(n), ENTRY), 8
-    doc, row = np.frombuffer(data, "<i8", k, at), np.frombuffer(data, "<u8", k, at + 8 * int(k))
-    each = np.frombuffer(data, "<u4", k, at + 16 * int(k))
-    at += 20 * int(k)
-    out["doc"], out["row"] = np.repeat(doc, each), np.repeat(row, each)
-    for name in ENTRY.names[:7]:
-        kind = ENTRY[name]
-        out[name] = np.frombuffer(data, kind, n, at)
-        at += kind.itemsize * int(n)
-    return out
+def leaves(key: np.ndarray, matrix: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each leaf, the leaf of each row), in the keys' order: rows with the same key and the same bytes are one."""
+    whole = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), size.astype(np.uint8)[:, None], matrix], axis=1)
+    _, first, leaf = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, leaf
 
 
-def first_meeting(whole: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal contexts of a gram the least document's entries, and the removal of the others."""
-    order = np.lexsort((e["doc"], e["context"], whole))
-    whole, e = whole[order], e[order]
-    at = runs(whole, e["context"])
-    least = np.repeat(e["doc"][at], np.diff(np.r_[at, len(e)])) == e["doc"]
-    back = np.argsort(order[least], kind="stable")  # in order of the texts again
-    return whole[least][back], e[least][back], marks_of(e[~least], REMOVE)
-
-
-def settle(e: np.ndarray, hot: bool, bucket: int, crowd: int) -> np.ndarray:
-    """Marks for the entries of a bucket."""
-    gram, left, right, context = (e[k].astype(np.uint64) for k in ("gram", "left", "right", "context"))
-    order = np.lexsort((e["doc"], context, gram))
-    e, gram, left, right, context = e[order], gram[order], left[order], right[order], context[order]
-    at = runs(gram, context)
-    size = np.diff(np.r_[at, len(e)])
-    least = np.repeat(e["doc"][at], size) == e["doc"]
-    out = [joined(marks_of(e[~least], REMOVE))]
-    e, gram, left, right, context = (x[least] for x in (e, gram, left, right, context))
-    if hot:
-        # what is alone in its gram may still meet windows of other buckets
-        return np.concatenate([*out, marks_of(e, HOT)])
-    open_ = np.zeros(len(e), bool)
-    for side in (left, right):
-        key = (gram << U(16)) | side
-        order = np.lexsort((context, key))
-        k, c, d = key[order], context[order], e["doc"][order]
-        at = runs(k)
-        size = np.diff(np.r_[at, len(k)])
-        if len(at):
-            several = (np.maximum.reduceat(c, at) != np.minimum.reduceat(c, at)) & (np.maximum.reduceat(d, at) != np.minimum.reduceat(d, at))
-            open_[order[np.repeat(several, size)]] = True
-    e = e[open_]
-    at = runs(e["gram"])
-    crowded = np.repeat(np.diff(np.r_[at, len(e)]) > crowd, np.diff(np.r_[at, len(e)]))
-    out += [marks_of(e[~crowded], OPEN, bucket), marks_of(e[crowded], HOT)]
-    return np.concatenate(out)
+def matrix_of(raw: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """One row of bytes for each (at, size), filled up with 0."""
+    out = np.lib.stride_tricks.sliding_window_view(np.r_[raw, np.zeros(width, np.uint8)], width)[at]
+    out[np.arange(width)[None] >= size[:, None]] = 0
+    return out
 
 
 def maximal_repeats(suffixes: np.ndarray, sizes: np.ndarray, before: np.ndarray, least: int = SPAN) -> Iterator[tuple[int, np.ndarray]]:
@@ -251,49 +214,154 @@ def maximal_repeats(suffixes: np.ndarray, sizes: np.ndarray, before: np.ndarray,
                 stack.append((length, first))
 
 
-CONTEXT = np.dtype([("doc", "<i8"), ("row", "<u8"), ("start", "<u4"), ("size", "<u4")])
-
-
-def context_blob(marks: np.ndarray, bodies: list[bytes]) -> bytes:
-    head = np.zeros(len(marks), CONTEXT)
-    for k in ("doc", "row", "start"):
-        head[k] = marks[k]
-    head["size"] = marks["end"] - marks["start"]
-    return np.array([len(marks)], "<u4").tobytes() + head.tobytes() + b"".join(bodies)
-
-
-def repeats_in(blobs: list[bytes], most: int = 40_000) -> np.ndarray:
-    """Removals found among contexts; only contexts of one gram can share a window, and a blob has one gram's."""
-    heads, bodies = [], []
-    for b in blobs:
-        n = int(np.frombuffer(b, "<u4", 1)[0])
-        heads.append(np.frombuffer(b, CONTEXT, n, 4))
-        bodies.append(np.frombuffer(b, np.uint8, offset=4 + n * CONTEXT.itemsize))
-    if not heads:
-        return np.empty(0, MARK)
-    head, body = np.concatenate(heads), np.concatenate(bodies)
-    size = head["size"].astype(np.int64)
-    first = np.cumsum(size) - size
-    windows = size - SPAN + 1
-    owner = np.repeat(np.arange(len(head)), windows)
-    inner = ragged(np.zeros(len(head), np.int64), windows)
-    at, left_over = first[owner] + inner, size[owner] - inner
-    width = int(size.max())
-    padded = np.r_[body, np.zeros(width, np.uint8)]
-    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at].copy()
-    rows[np.arange(width)[None] >= left_over[:, None]] = 0
-    before = np.where(inner > 0, padded[at - 1].astype(np.int64), -1 - np.arange(len(at)))
-    found = []
-    for length, who in maximal_repeats(rows, left_over, before):
-        docs = head["doc"][owner[who]]
-        later = who[docs > docs.min()]
-        if len(later):
-            m = np.zeros(len(later), MARK)
-            m["doc"], m["row"] = head["doc"][owner[later]], head["row"][owner[later]]
-            m["start"] = head["start"][owner[later]] + inner[later]
-            m["end"] = m["start"] + length
-            found.append(m)
-    return joined(np.concatenate(found)) if found else np.empty(0, MARK)
+def repeats(key: np.ndarray, matrix: np.ndarray, size: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(leaves, first bytes in them, length) of what leaves, sorted by key, have in common with an earlier document's leaf.
+
+    doc is the least document of each leaf.  Only leaves of one key can share a
+    window, so several keys' windows stand in one suffix array.
+    """
+    at = runs(key)
+    n = np.diff(np.r_[at, len(key)])
+    if not len(at):
+        return
+    open_ = np.repeat((n > 1) & (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)), n)
+    some = np.flatnonzero(open_)
+    windows = size[some] - SPAN + 1
+    part = (np.cumsum(windows) - windows) // SUFFIXES
+    group = np.cumsum(np.r_[False, key[some][1:] != key[some][:-1]]) if len(some) else some
+    if len(some):  # a key stays in one part
+        part = part[runs(group)][group]
+    for p in np.unique(part):
+        mine, count = some[part == p], windows[part == p]
+        owner, inner = np.repeat(mine, count), ragged(np.zeros(len(mine), np.int64), count)
+        flat, width = matrix[mine].ravel(), matrix.shape[1]
+        begin = np.repeat(np.arange(len(mine)) * width, count) + inner
+        left_over = size[owner] - inner
+        before = np.where(inner > 0, flat[begin - 1].astype(np.int64), -1 - np.arange(len(begin)))
+        for length, who in maximal_repeats(matrix_of(flat, begin, left_over, width), left_over, before):
+            docs = doc[owner[who]]
+            later = who[docs > docs.min()]
+            if len(later):
+                yield owner[later], inner[later], length
+
+
+OUT = "kind int, bucket long, pack long, doc long, row long, at long, win binary, payload binary"
+CONTEXTS, MARKS, WINDOWS = 0, 1, 2
+KINDS = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
+
+
+def rows_out(kind: int, **cols) -> pa.Table:
+    names = [x.split()[0] for x in OUT.split(", ")]
+    n = len(next(iter(cols.values())))
+    return pa.table([pa.array(cols[k], t) if k in cols else pa.array([kind] * n, t) if k == "kind" else pa.nulls(n, t) for k, t in zip(names, KINDS, strict=True)], names)
+
+
+def blob(key, size, count, row, doc, at, body: bytes) -> bytes:
+    """Leaves of a pack: key, size and number of occurrences of each, the occurrences, and the leaves' bytes."""
+    parts = [np.array([len(key), len(row)], "<u4"), key.astype("<u8"), size.astype("<u1"), count.astype("<u4"), row.astype("<u4"), doc.astype("<i8"), at.astype("<u4")]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(p.tobytes() for p in parts), body]))
+
+
+def from_blob(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m = np.frombuffer(raw, "<u4", 2).tolist()
+    at, out = 8, []
+    for kind, k in (("<u8", n), ("<u1", n), ("<u4", n), ("<u4", m), ("<i8", m), ("<u4", m)):
+        out.append(np.frombuffer(raw, kind, k, at))
+        at += k * np.dtype(kind).itemsize
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
+
+
+def docs_of(pack: dict) -> np.ndarray:
+    return np.array([np.iinfo(np.int64).max if d is None else d for d in pack["doc"]], np.int64)
+
+
+def contexts(pack: dict, kinds: np.ndarray, buckets: int) -> pa.Table:
+    """A pack's contexts and windows of shared keys, and what the pack alone decides."""
+    texts, doc = packs.texts_of(pack["texts"], np.array(pack["ends"], np.int64)), docs_of(pack)
+    key, _, lo, hi, text = halves(texts)
+    kind = kinds[np.searchsorted(np.unique(key), key)] if len(key) else np.empty(0, np.uint8)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    base = np.r_[0, np.array(pack["ends"], np.int64)[:-1]]
+    tables, gone = [rows_out(MARKS, pack=[], payload=[])], [np.empty(0, MARK)]
+
+    def least_of(key_, start, size, row, width):
+        """Leaves, and their occurrences in their least document; the others go."""
+        matrix = matrix_of(raw, base[row] + start, size, width)
+        first, leaf = leaves(key_, matrix, size)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, leaf, doc[row])
+        late = doc[row] > least[leaf]
+        gone.append(marks_of(row[late], start[late], start[late] + size[late]))
+        return matrix, first, leaf, ~late
+
+    some = np.flatnonzero(kind == SHARED)
+    for at in range(0, len(some), 1 << 16):
+        pick = some[at : at + (1 << 16)]
+        matrix, first, leaf, kept = least_of(key[pick], lo[pick], hi[pick] - lo[pick] + SPAN, text[pick], WIDEST)
+        order = np.flatnonzero(kept)[np.argsort(leaf[kept], kind="stable")]
+        count = np.bincount(leaf[order], minlength=len(first))
+        size = (hi - lo + SPAN)[pick][first]
+        where = (key[pick][first] // U(-(-(1 << packs.BITS) // buckets))).astype(np.int64)
+        ends, cuts = np.r_[0, np.cumsum(count)], np.r_[runs(where), len(where)]
+        payload = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            occ = pick[order[ends[a] : ends[b]]]
+            body = matrix[first[a:b]][np.arange(WIDEST)[None] < size[a:b, None]].tobytes()
+            payload.append(blob(key[pick][first[a:b]], size[a:b], count[a:b], text[occ], doc[text[occ]], lo[occ], body))
+        tables.append(rows_out(CONTEXTS, bucket=where[cuts[:-1]], pack=[pack["pack"]] * len(payload), payload=payload))
+    some = np.flatnonzero(kind == HOT)
+    for at in range(0, len(some), 1 << 13):
+        pick = some[at : at + (1 << 13)]
+        n = hi[pick] - lo[pick] + 1
+        start, row = ragged(lo[pick], n), np.repeat(text[pick], n)
+        matrix, first, leaf, kept = least_of(np.zeros(len(start), np.uint64), start, np.full(len(start), SPAN), row, SPAN)
+        at_ = np.flatnonzero(kept)
+        tables.append(rows_out(WINDOWS, pack=[pack["pack"]] * len(at_), doc=doc[row[at_]], row=row[at_], at=start[at_], win=[m.tobytes() for m in matrix[at_]]))
+    marks = joined(np.concatenate(gone))
+    if len(marks):
+        tables.append(rows_out(MARKS, pack=[pack["pack"]], payload=[marks.tobytes()]))
+    return pa.concat_tables(tables)
+
+
+FOUND = "pack long, payload binary"
+
+
+def by_pack(pack: np.ndarray, marks: np.ndarray) -> pa.Table:
+    order = np.argsort(pack, kind="stable")
+    at = np.r_[runs(pack[order]), len(pack)]
+    data = [joined(marks[order[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.table({"pack": pa.array(pack[order][at[:-1]], pa.int64()), "payload": pa.array(data, pa.binary())})
+
+
+def trees(table: pa.Table) -> pa.Table:
+    """Removals among the contexts of a bucket."""
+    parts = [from_blob(b) for b in table.column("payload").to_pylist()]
+    key, size, count, row, doc, at, body = (np.concatenate(c) for c in zip(*parts, strict=True))
+    pack = np.repeat(table.column("pack").to_numpy(), [len(p[3]) for p in parts])
+    size = size.astype(np.int64)
+    matrix = matrix_of(body, np.cumsum(size) - size, size, WIDEST)
+    first, leaf = leaves(key, matrix, size)
+    of = np.repeat(leaf, count)
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, doc)
+    late = doc > least[of]
+    start = at.astype(np.int64)
+    packs_, marks = [pack[late]], [marks_of(row[late], start[late], start[late] + size[first][of[late]])]
+    # occurrences of each leaf in its least document
+    kept = np.flatnonzero(~late)
+    kept = kept[np.argsort(of[kept], kind="stable")]
+    n = np.bincount(of[kept], minlength=len(first))
+    begin = np.cumsum(n) - n
+    for who, inner, length in repeats(key[first], matrix[first], size[first], least):
+        occ = kept[ragged(begin[who], n[who])]
+        lo = start[occ] + np.repeat(inner, n[who])
+        packs_.append(pack[occ])
+        marks.append(marks_of(row[occ], lo, lo + length))
+    return by_pack(np.concatenate(packs_), np.concatenate(marks))
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def covered(n: int, marks: np.ndarray) -> np.ndarray:
@@ -303,188 +371,58 @@ def covered(n: int, marks: np.ndarray) -> np.ndarray:
     return np.cumsum(depth[:n]) > 0
 
 
-OUT = "kind int, doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket long, payload binary, kept binary"
-DONE, WAIT, CONTEXTS, WINDOWS = 0, 1, 2, 3
-
-
-class Rows:
-    """Collects output rows and gives them as batches."""
-
-    def __init__(self):
-        self.names = [x.split()[0] for x in OUT.split(", ")]
-        self.types = [pa.int32(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.binary(), pa.binary()]
-        self.rows: list[tuple] = []
-
-    def add(self, kind, doc=None, row=None, n=None, removed=None, spans=None, digest=None, bucket=None, payload=None, kept=None) -> None:
-        self.rows.append((kind, doc, row, n, removed, spans, digest, bucket, payload, kept))
-
-    def table(self) -> pa.Table:
-        cols = zip(*self.rows, strict=True) if self.rows else [[] for _ in self.names]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, self.types, strict=True)], self.names)
-
-
-def verdict(out: Rows, doc: int, row: int, text: bytes, marks: np.ndarray, keep: bool) -> None:
-    gone = covered(len(text), marks)
-    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-    spans = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
-    out.add(DONE, None if doc == LAST else doc, row, len(text), int(gone.sum()), spans, sha256(kept).hexdigest(), kept=kept if keep else None)
-
-
-def by_row(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    marks = marks[np.argsort(marks["row"], kind="stable")]
-    at = runs(marks["row"])
-    return marks["row"][at], np.r_[at, len(marks)], marks
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def remove_repeats(df: DataFrame, sample: float = 0.02, heavy: int = 200, crowd: int = 20_000, bucket_bytes: int = 6 << 20, keep: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, crowd: int = 20_000, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left; null without ``keep``) of each row of ``doc_id, text``.
 
-    A gram that ``heavy`` entries of a sampled share of the rows have takes the
-    way by window hashes, as do grams with more than ``crowd`` open contexts in a
-    bucket; both ways give the same result.
+    A key of more than ``crowd`` contexts takes the way by windows, which gives
+    the same result.
 
     Null text is empty; texts under 50 bytes stay.  A row without doc_id comes
     after all others, and rows with one doc_id (or none) are no source for each
-    other.  Repeated rows are each reported.  Further columns are not read.
+    other.  Repeated rows are each reported.  A text of n bytes takes about 60 n
+    bytes in a task, and at most 8 MiB of it are hashed at once.  Further columns
+    are not read.  An empty table gives no rows.
     """
-    spark = df.sparkSession
-    base = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), common.text_of().cast("binary").alias("text"))
-    size = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, int(size // bucket_bytes), min(common.shuffle_width(spark), int(size >> 16)))
-
-    def read(batch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        return batch.column("doc").to_numpy(), batch.column("row").to_numpy().view(np.uint64), batch.column("text").to_pylist()
-
-    def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, _ = entries(*read(batch))
-            ids, n = np.unique(whole, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), pa.array(n)], ["gram", "n"])
-
-    counts = base.sample(sample, seed=5).mapInArrow(gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    frequent = np.array([r.gram for r in counts.filter(F.col("n") >= heavy).orderBy(F.desc("n"), "gram").limit(50_000).collect()], np.int64).view(np.uint64)
-    frequent.sort()
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        room = 0
-
-        def leave() -> Iterator[pa.RecordBatch]:
-            docs, rows, texts = (sum((list(h[k]) for h in held), []) for k in range(3))
-            whole, e = entries(np.array(docs, np.int64), np.array(rows, np.uint64), texts)
-            whole, e, gone = first_meeting(whole, e)
-            if len(gone):
-                gone = joined(gone)
-                yield dealt(signed(gone["row"]) % buckets, gone, True)
-            if len(e):
-                hot = frequent[np.minimum(np.searchsorted(frequent, whole), len(frequent) - 1)] == whole if len(frequent) else np.zeros(len(e), bool)
-                to = (whole & U(0xFFFFFFFF)) % U(buckets)
-                to = np.where(hot, (e["context"] % U(buckets)) + U(buckets), to).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                to, e = to[order], e[order]
-                at = runs(to)
-                ends = np.r_[at[1:], len(to)]
-                for k in range(0, len(at), 512):
-                    pick = slice(k, k + 512)
-                    yield pa.RecordBatch.from_arrays([pa.array(to[at[pick]]), pa.array([False] * len(at[pick])), pa.array([columns(e[a:b]) for a, b in zip(at[pick], ends[pick], strict=True)], pa.binary())], ["bucket", "is_marks", "payload"])
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = read(batch.slice(k, 500))
-                held.append(part)
-                room += sum(map(len, part[2]))
-                if room >= BLOCK:
-                    yield from leave()
-                    held.clear()
-                    room = 0
-        if held:
-            yield from leave()
-
-    def meet(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        old, new = [], []
-        for is_marks, data in zip(table.column("is_marks").to_pylist(), table.column("payload").to_pylist(), strict=True):
-            (old if is_marks else new).append(np.frombuffer(data, MARK) if is_marks else from_columns(data))
-        if new:
-            old.append(settle(np.concatenate(new), bucket >= buckets, bucket, crowd))
-        marks = np.concatenate(old)
-        return pa.Table.from_batches([dealt(signed(marks["row"]) % buckets, marks)]) if len(marks) else pa.table({"bucket": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
-
-    decided = base.mapInArrow(find, DEALT).groupBy("bucket").applyInArrow(meet, "bucket long, payload binary")
-    # written first, so that the entries' shuffle, the largest, is gone before the texts are dealt
-    decided = common.stash(decided, "marks")
-    common.release(spark)
-    place = F.pmod("row", F.lit(buckets))
-
-    def apply(texts: pa.Table, marked: pa.Table) -> pa.Table:
-        out = Rows()
-        rows, at, marks = by_row(np.concatenate([np.empty(0, MARK), *(np.frombuffer(b, MARK) for b in marked.column("payload").to_pylist())]))
-        for doc, row, text in zip(texts.column("doc").to_pylist(), texts.column("row").to_numpy().view(np.uint64), texts.column("text").to_pylist(), strict=True):
-            k = np.searchsorted(rows, row)
-            own = marks[at[k] : at[k + 1]] if k < len(rows) and rows[k] == row else marks[:0]
-            gone, open_ = own[own["kind"] == REMOVE], own[own["kind"] != REMOVE]
-            if not len(open_):
-                verdict(out, doc, int(row.view(np.int64)), text, gone, keep)
-                continue
-            out.add(WAIT, doc, int(row.view(np.int64)), bucket=int(row.view(np.int64)) % buckets, payload=gone.tobytes(), kept=text)
-            for m in open_[open_["kind"] == OPEN]:
-                out.add(CONTEXTS, bucket=(int(m["bucket"]) << 32) + int(m["gram"]), payload=context_blob(np.array([m]), [text[m["start"] : m["end"]]]))
-            hot = open_[open_["kind"] == HOT]
-            if len(hot):
-                spans = Spans(BYTES[np.frombuffer(text, np.uint8)])
-                first = np.unique(ragged(hot["start"].astype(np.int64), (hot["end"] - hot["start"]).astype(np.int64) - SPAN + 1))
-                # 128 bits: a second hash of the window's halves stands beside the first
-                one, two = spans.of(first, first + SPAN), spans.of(first, first + SPAN // 2) ^ spans.of(first + 7, first + SPAN)
-                for a, b, w in zip(signed(one).tolist(), signed(two).tolist(), first.tolist(), strict=True):
-                    out.add(WINDOWS, doc, int(row.view(np.int64)), a, b, w)
-        return out.table()
-
-    placed = base.withColumn("bucket", place)
-    state = common.stash(placed.groupBy("bucket").cogroup(decided.groupBy("bucket")).applyInArrow(apply, OUT), "repeats")
-
-    def trees(table: pa.Table) -> pa.Table:
-        by: dict[int, list[bytes]] = {}
-        for key, data in zip(table.column("key").to_pylist(), table.column("payload").to_pylist(), strict=True):
-            by.setdefault(key, []).append(data)
-        found = [repeats_in(b) for b in by.values()]
-        marks = joined(np.concatenate(found)) if found else np.empty(0, MARK)
-        return pa.Table.from_batches([dealt(signed(marks["row"]) % buckets, marks)]) if len(marks) else pa.table({"bucket": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
-
-    contexts = state.filter(F.col("kind") == CONTEXTS).select(F.shiftright("bucket", 32).alias("b"), F.col("bucket").alias("key"), "payload")
-    by_tree = contexts.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(8 * buckets))).groupBy("part").applyInArrow(trees, "bucket long, payload binary")
-
-    windows = state.filter(F.col("kind") == WINDOWS).select(F.col("doc_id").alias("doc"), "row", F.col("n_bytes").alias("h1"), F.col("n_removed").alias("h2"), F.col("n_spans").alias("at"))
-    least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    late = windows.join(least, ["h1", "h2"]).filter("doc > least")
+    base = df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    held = packs.packed(base, False, "packs")
+    buckets = packs.buckets_for(held, SIDE / 4)
+    told = packs.answers(held, buckets, ask, lambda keys, numbers: answer(keys, numbers, crowd), "keys")
+    found = common.stash(packs.with_answers(held, told, lambda pack, kinds: contexts(pack, kinds, 4 * buckets), OUT), "contexts")
+    common.discard(told)
+
+    width = max(common.shuffle_width(df.sparkSession), buckets // 2)
+    met = found.filter(F.col("kind") == CONTEXTS).select("bucket", "pack", "payload").repartition(width, "bucket")
+    met = met.groupBy("bucket").applyInArrow(trees, FOUND)
+    windows = found.filter(F.col("kind") == WINDOWS).select("win", "doc", "pack", "row", "at")
+    least = windows.groupBy("win").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("win", "least")
+    late = windows.join(least, "win").filter("doc > least").select("pack", "row", "at")
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = np.zeros(batch.num_rows, MARK)
-            m["doc"], m["row"], m["start"] = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            m["end"] = m["start"] + SPAN
-            m = joined(m)
-            if len(m):
-                yield dealt(signed(m["row"]) % buckets, m)
-
-    by_hash = late.select("doc", "row", "at").mapInArrow(spans_of, "bucket long, payload binary")
-    waiting = state.filter(F.col("kind") == WAIT).select("bucket", F.col("doc_id").alias("doc"), "row", F.col("kept").alias("text"), "payload")
-
-    def finish(texts: pa.Table, marked: pa.Table) -> pa.Table:
-        out = Rows()
-        rows, at, marks = by_row(np.concatenate([np.empty(0, MARK), *(np.frombuffer(b, MARK) for b in marked.column("payload").to_pylist())]))
-        for doc, row, text, gone in zip(texts.column("doc").to_pylist(), texts.column("row").to_numpy().view(np.uint64), texts.column("text").to_pylist(), texts.column("payload").to_pylist(), strict=True):
-            k = np.searchsorted(rows, row)
-            own = marks[at[k] : at[k + 1]] if k < len(rows) and rows[k] == row else marks[:0]
-            verdict(out, doc, int(row.view(np.int64)), text, np.concatenate([np.frombuffer(gone, MARK), own]), keep)
-        return out.table()
-
-    ended = waiting.groupBy("bucket").cogroup(by_tree.unionByName(by_hash).groupBy("bucket")).applyInArrow(finish, OUT)
-    out = state.filter(F.col("kind") == DONE).unionByName(ended)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+            pack, row, at = (c.to_numpy() for c in batch.columns)
+            yield from by_pack(pack, marks_of(row, at, at + SPAN)).to_batches()
+
+    own = found.filter(F.col("kind") == MARKS).select("pack", "payload")
+    marks = common.stash(own.unionByName(met).unionByName(late.mapInArrow(spans_of, FOUND)), "marks")
+    common.discard(found)
+
+    def finish(mine: pa.Table, got: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for pack in mine.to_pylist():
+            texts = packs.texts_of(pack["texts"], np.array(pack["ends"], np.int64))
+            gone = np.concatenate([np.empty(0, MARK), *(np.frombuffer(b, MARK) for b in got.column("payload").to_pylist())])
+            gone = gone[np.argsort(gone["row"], kind="stable")]
+            cut = np.searchsorted(gone["row"], np.arange(len(texts) + 1))
+            for k, (doc, text) in enumerate(zip(pack["doc"], texts, strict=True)):
+                hit = covered(len(text), gone[cut[k] : cut[k + 1]])
+                kept = np.frombuffer(text, np.uint8)[~hit].tobytes()
+                spans = int(np.count_nonzero(np.diff(np.r_[0, hit.astype(np.int8)]) == 1))
+                out.append((doc, len(text), int(hit.sum()), spans, sha256(kept).hexdigest(), kept if keep else None))
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
+
+    tasks = max(common.shuffle_width(df.sparkSession), held.count() // 32)
+    return held.repartition(tasks, "pack").groupBy("pack").cogroup(marks.repartition(tasks, "pack").groupBy("pack")).applyInArrow(finish, RESULT)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
