@@ -40,7 +40,7 @@ def packed(df: DataFrame, lower: bool, name: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=3).compress
         first, serial = TaskContext.get().partitionId() << 24, 0
         held: list[tuple] = []
         size = 0
@@ -98,6 +98,17 @@ def from_planes(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
+def by_byte(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones, ..: small differences and common upper bytes compress well so."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+
+
+def from_bytes(data: bytes, kind: str, n: int, columns: int = 1) -> np.ndarray:
+    wide = np.frombuffer(data, np.uint8).reshape(-1, n).T if n else np.empty((0, columns * np.dtype(kind).itemsize), np.uint8)
+    out = np.ascontiguousarray(wide).view(kind)
+    return out.ravel() if columns == 1 else out
+
+
 def buckets_for(packs: DataFrame, bytes_a_hash: float) -> int:
     size = packs.agg(F.sum("size")).first()[0] or 0
     return max(1, round(size / bytes_a_hash / BUCKET), min(common.shuffle_width(packs.sparkSession), int(size >> 18)))
@@ -125,7 +136,7 @@ def answers(packs: DataFrame, buckets: int, ask: Callable[[list[bytes], np.ndarr
                 used = np.flatnonzero(np.diff(cuts))
                 for at in range(0, len(used), 256):
                     some = [(b, slice(cuts[b], cuts[b + 1])) for b in used[at : at + 256].tolist()]
-                    rows = [[b for b, _ in some], [pack] * len(some), [s.stop - s.start for _, s in some], [press(planes(hashes[s])) for _, s in some], [press(numbers[s].tobytes()) for _, s in some]]
+                    rows = [[b for b, _ in some], [pack] * len(some), [s.stop - s.start for _, s in some], [press(planes(hashes[s])) for _, s in some], [press(by_byte(numbers[s])) for _, s in some]]
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in ASKED.split(", ")])
 
@@ -133,9 +144,10 @@ def answers(packs: DataFrame, buckets: int, ask: Callable[[list[bytes], np.ndarr
         unpress = zstandard.ZstdDecompressor().decompress
         bucket, pack, n = table.column("bucket")[0].as_py(), table.column("pack").to_pylist(), table.column("n").to_pylist()
         hashes = np.concatenate([from_planes(unpress(h), k) for h, k in zip(table.column("hashes").to_pylist(), n, strict=True)])
-        numbers = np.concatenate([np.frombuffer(unpress(x), "<i8") for x in table.column("extra").to_pylist()])
-        columns = len(numbers) // len(hashes)
-        told = answer(hashes, numbers if columns == 1 else numbers.reshape(-1, columns)).astype(np.uint8)
+        extra = [unpress(x) for x in table.column("extra").to_pylist()]
+        columns = sum(map(len, extra)) // (8 * len(hashes))
+        numbers = np.concatenate([from_bytes(x, "<i8", k, columns) for x, k in zip(extra, n, strict=True)])
+        told = answer(hashes, numbers).astype(np.uint8)
         ends = np.cumsum(n)
         return pa.table({"pack": pack, "bucket": pa.array([bucket] * len(pack), pa.int64()), "answer": pa.array([told[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary())})
 

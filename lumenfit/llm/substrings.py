@@ -258,17 +258,20 @@ def rows_out(kind: int, **cols) -> pa.Table:
 
 def blob(key, size, count, row, doc, at, body: bytes) -> bytes:
     """Leaves of a pack: key, size and number of occurrences of each, the occurrences, and the leaves' bytes."""
-    parts = [np.array([len(key), len(row)], "<u4"), key.astype("<u8"), size.astype("<u1"), count.astype("<u4"), row.astype("<u4"), doc.astype("<i8"), at.astype("<u4")]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(p.tobytes() for p in parts), body]))
+    parts = [size.astype("<u1"), count.astype("<u4"), row.astype("<u4"), doc.astype("<i8"), at.astype("<u4")]
+    head = np.array([len(key), len(row)], "<u4").tobytes() + packs.planes(key)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *map(packs.by_byte, parts), body]))
 
 
 def from_blob(data: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n, m = np.frombuffer(raw, "<u4", 2).tolist()
-    at, out = 8, []
-    for kind, k in (("<u8", n), ("<u1", n), ("<u4", n), ("<u4", m), ("<i8", m), ("<u4", m)):
-        out.append(np.frombuffer(raw, kind, k, at))
-        at += k * np.dtype(kind).itemsize
+    at = 8 + n * packs.BITS // 8
+    out = [packs.from_planes(raw[8:at], n)]
+    for kind, k in (("<u1", n), ("<u4", n), ("<u4", m), ("<i8", m), ("<u4", m)):
+        size = k * np.dtype(kind).itemsize
+        out.append(packs.from_bytes(raw[at : at + size], kind, k))
+        at += size
     return [*out, np.frombuffer(raw, np.uint8, offset=at)]
 
 
