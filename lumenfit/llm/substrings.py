@@ -253,7 +253,7 @@ KINDS = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
 def rows_out(kind: int, **cols) -> pa.Table:
     names = [x.split()[0] for x in OUT.split(", ")]
     n = len(next(iter(cols.values())))
-    return pa.table([pa.array(cols[k], t) if k in cols else pa.array([kind] * n, t) if k == "kind" else pa.nulls(n, t) for k, t in zip(names, KINDS, strict=True)], names)
+    return pa.table([cols[k].cast(t) if isinstance(cols.get(k), pa.ChunkedArray) else pa.array(cols[k], t) if k in cols else pa.array([kind] * n, t) if k == "kind" else pa.nulls(n, t) for k, t in zip(names, KINDS, strict=True)], names)
 
 
 def blob(key, size, count, row, doc, at, body: bytes) -> bytes:
@@ -287,6 +287,7 @@ def contexts(pack: dict, kinds: np.ndarray, buckets: int) -> pa.Table:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     base = np.r_[0, np.array(pack["ends"], np.int64)[:-1]]
     tables, gone = [rows_out(MARKS, pack=[], payload=[])], [np.empty(0, MARK)]
+    aside = -1 - pack["pack"]  # what no tree is made of
 
     def least_of(key_, start, size, row, width):
         """Leaves, and their occurrences in their least document; the others go."""
@@ -320,10 +321,10 @@ def contexts(pack: dict, kinds: np.ndarray, buckets: int) -> pa.Table:
         start, row = ragged(lo[pick], n), np.repeat(text[pick], n)
         matrix, first, leaf, kept = least_of(np.zeros(len(start), np.uint64), start, np.full(len(start), SPAN), row, SPAN)
         at_ = np.flatnonzero(kept)
-        tables.append(rows_out(WINDOWS, pack=[pack["pack"]] * len(at_), doc=doc[row[at_]], row=row[at_], at=start[at_], win=[m.tobytes() for m in matrix[at_]]))
+        tables.append(rows_out(WINDOWS, bucket=[aside] * len(at_), pack=[pack["pack"]] * len(at_), doc=doc[row[at_]], row=row[at_], at=start[at_], win=[m.tobytes() for m in matrix[at_]]))
     marks = joined(np.concatenate(gone))
     if len(marks):
-        tables.append(rows_out(MARKS, pack=[pack["pack"]], payload=[marks.tobytes()]))
+        tables.append(rows_out(MARKS, bucket=[aside], pack=[pack["pack"]], payload=[marks.tobytes()]))
     return pa.concat_tables(tables)
 
 
@@ -331,6 +332,7 @@ FOUND = "pack long, payload binary"
 
 
 def by_pack(pack: np.ndarray, marks: np.ndarray) -> pa.Table:
+    """One row of marks for each pack."""
     order = np.argsort(pack, kind="stable")
     at = np.r_[runs(pack[order]), len(pack)]
     data = [joined(marks[order[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -338,7 +340,9 @@ def by_pack(pack: np.ndarray, marks: np.ndarray) -> pa.Table:
 
 
 def trees(table: pa.Table) -> pa.Table:
-    """Removals among the contexts of a bucket."""
+    """Removals among the contexts of a bucket; other rows as they are."""
+    if table.column("kind")[0].as_py() != CONTEXTS:
+        return table
     parts = [from_blob(b) for b in table.column("payload").to_pylist()]
     key, size, count, row, doc, at, body = (np.concatenate(c) for c in zip(*parts, strict=True))
     pack = np.repeat(table.column("pack").to_numpy(), [len(p[3]) for p in parts])
@@ -361,7 +365,8 @@ def trees(table: pa.Table) -> pa.Table:
         lo = start[occ] + np.repeat(inner, n[who])
         packs_.append(pack[occ])
         marks.append(marks_of(row[occ], lo, lo + length))
-    return by_pack(np.concatenate(packs_), np.concatenate(marks))
+    out = by_pack(np.concatenate(packs_), np.concatenate(marks))
+    return rows_out(MARKS, pack=out.column("pack"), payload=out.column("payload"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -390,12 +395,10 @@ def remove_repeats(df: DataFrame, crowd: int = 20_000, keep: bool = True) -> Dat
     held = packs.packed(base, False, "packs")
     buckets = packs.buckets_for(held, SIDE / 4)
     told = packs.answers(held, buckets, ask, lambda keys, numbers: answer(keys, numbers, crowd), "keys")
-    found = common.stash(packs.with_answers(held, told, lambda pack, kinds: contexts(pack, kinds, 4 * buckets), OUT), "contexts")
-    common.discard(told)
-
+    dealt = packs.with_answers(held, told, lambda pack, kinds: contexts(pack, kinds, 4 * buckets), OUT)
     width = max(common.shuffle_width(df.sparkSession), buckets // 2)
-    met = found.filter(F.col("kind") == CONTEXTS).select("bucket", "pack", "payload").repartition(width, "bucket")
-    met = met.groupBy("bucket").applyInArrow(trees, FOUND)
+    found = common.stash(dealt.repartition(width, "bucket").groupBy("bucket").applyInArrow(trees, OUT), "found")
+    common.discard(told)
     windows = found.filter(F.col("kind") == WINDOWS).select("win", "doc", "pack", "row", "at")
     least = windows.groupBy("win").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("win", "least")
     late = windows.join(least, "win").filter("doc > least").select("pack", "row", "at")
@@ -406,7 +409,7 @@ def remove_repeats(df: DataFrame, crowd: int = 20_000, keep: bool = True) -> Dat
             yield from by_pack(pack, marks_of(row, at, at + SPAN)).to_batches()
 
     own = found.filter(F.col("kind") == MARKS).select("pack", "payload")
-    marks = common.stash(own.unionByName(met).unionByName(late.mapInArrow(spans_of, FOUND)), "marks")
+    marks = common.stash(own.unionByName(late.mapInArrow(spans_of, FOUND)), "marks")
     common.discard(found)
 
     def finish(mine: pa.Table, got: pa.Table) -> pa.Table:
