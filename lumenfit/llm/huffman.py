@@ -136,7 +136,7 @@ def tokenize(df: DataFrame, tokenizer: str, end_id: int, wide: bool) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, pack = tokens.UnitEncoder.of(tokenizer), zstandard.ZstdCompressor(level=1).compress
+        encoder, pack = tokens.UnitEncoder.of(tokenizer, 1_200_000), zstandard.ZstdCompressor(level=1).compress
         kind = np.dtype("<u4" if wide else "<u2")
         for batch in batches:
             for at, ids, ends in encoder.encode(batch.column(1)):
@@ -179,8 +179,8 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, end_id: int, voca
     """Writes the ids of all texts, each with end_id after it, in ascending doc_id order.
 
     ``path`` gets ``blocks`` and ``codes``.  Null text is one end id; null
-    doc_ids come first; rows with the same doc_id (or none) are ordered by their
-    packed ids, so many of them are dealt to several tasks, and each is a
+    doc_ids come first; rows with the same doc_id (or none) are ordered by a
+    hash of their packed ids, so many of them are dealt to several tasks, and each is a
     document.  A long text is one document of one block; it may have up to 2^29
     ids.  Other columns are not read.  Of an empty table no block is written.
     """
@@ -222,8 +222,9 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, end_id: int, voca
             yield flush()
 
     width = max(common.shuffle_width(spark), int(counts.sum()) // (16 * block_tokens))
-    ranged = tokenized.repartitionByRange(width, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    ranged.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # a hash and not the ids, as ranges are found from a sample that goes to the driver
+    ranged = tokenized.withColumn("h", F.xxhash64("ids")).repartitionByRange(width, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
+    ranged.drop("h").mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     common.discard(tokenized)
     return path
 

@@ -114,20 +114,22 @@ class UnitEncoder:
         self.added = added_pattern(path)
 
     @classmethod
-    def of(cls, path: str) -> UnitEncoder:
+    def of(cls, path: str, max_units: int = 700_000) -> UnitEncoder:
         """One encoder for each file in a worker: tasks that follow reuse its memo."""
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        if (path, max_units) not in cls._kept:
+            cls._kept[path, max_units] = cls(path, max_units)
+        return cls._kept[path, max_units]
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and their number by text."""
         ids, sizes = [np.empty(0, np.uint32)], []
         for at in range(0, len(texts), 4000):
+            flat: list[int] = []
             for e in self.tok.encode_batch_fast(texts[at : at + 4000], add_special_tokens=False):
                 got = e.ids
                 sizes.append(len(got))
-                ids.append(np.array(got, np.uint32))
+                flat += got
+            ids.append(np.array(flat, np.uint32))
         return np.concatenate(ids), np.array(sizes, np.int64)
 
     def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
