@@ -19,7 +19,13 @@ MOST_BROADCAST = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language (``und``) or a score under LEAST_SCORE.  The network learns from labelled rows of docs."""
+    """Drops what has no language (``und``) or a score under LEAST_SCORE.  The network learns from labelled rows of docs.
+
+    Null and empty texts, and texts without a letter, go; of a table without
+    labels all rows go, as nothing can be learned.  Equal texts, however long,
+    get one answer, null ids make no difference, and columns other than those of
+    ``documents`` are left out.
+    """
     net = langid.fit(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
     known = langid.predict(docs.select(*COLUMNS), net)
     return known.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -59,13 +65,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts; n_chars follows."""
+    """Replaces secrets in texts; n_chars follows.
+
+    No row goes: null and empty texts, repeated rows and null ids stay as they
+    are.  Columns other than those of ``documents`` are left out.
+    """
     done = secrets.redact(docs.select(*COLUMNS))
     return done.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts; one row for each piece."""
+    """Packs the texts; one row for each piece.
+
+    Null text is one end id; rows with one doc_id, or none, are documents each; a
+    long text is cut.  Other columns are not read, and no documents give no rows.
+    """
     return packing.packed_pieces(docs)
 
 

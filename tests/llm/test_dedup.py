@@ -332,3 +332,41 @@ def test_pipeline_stages(spark):
         now = spark.createDataFrame(list(rows.values()), docs_.schema)
     packed = p.pack(spark, now, DATA)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(rows) and len(before) == 200
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, columns with clashing names, empty tables."""
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    parts = {"en": ["the", "er", "ing", "tion", "an"], "de": ["sch", "ung", "ei", "ber"]}
+    word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(3))
+    text = lambda lang, n=40: " ".join(word(lang) for _ in range(n))
+    item = "A question of the benchmark that stands here with 12 apples and 30 pears for everyone to read at once"
+    rows = [(i, text(g), g, "s", 1) for i in range(40) for g in ("en", "de")]
+    same, held = text("en"), text("en")
+    rows += [(500, same, "en", "b", 2), (500, same, "en", "a", 3), (500, same, "en", "a", 3), (None, same, None, None, None), (501, same, None, "s", 1)]
+    rows += [(None, f"{held} {item} {text('en')}", "en", None, None), (None, None, None, None, None), (600, None, "en", "s", 0), (601, "", None, "s", 0), (602, "123 ...", "en", "s", 7)]
+    rows += [(None, f"{text('en')} token=abcdefgh12345 {text('en')}", None, None, None), (700, text("de", 30_000), "de", "s", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs_ = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], schema + ", node long, spans string, h1 long")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = docs_
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == p.COLUMNS, name
+        rest = out.collect()
+        texts = [r.text for r in rest]
+        if name == "language":
+            assert len(rest) == len(rows) - 4 and all(texts)
+        elif name == "near_duplicates":
+            assert len(rest) == len(set(texts)) and [(r.doc_id, r.source, r.n_chars) for r in rest if r.text == same] == [(500, "a", 3)]
+        elif name == "decontaminate":
+            assert not any(item in t for t in texts) and len(rest) == len(now.collect()) - 1
+        else:
+            assert sum("[SECRET]" in t for t in texts) == 1 and not any("abcdefgh12345" in t for t in texts)
+        now = spark.createDataFrame(rest, schema)
+    packed = p.pack(spark, now, "").collect()
+    assert sum(r.length for r in packed if r.start == 0 or r.start) > 30_000 and max(r.offset + r.length for r in packed) <= 2048
+    none = docs_.limit(0)
+    assert all(stage(spark, none, str(tmp_path)).count() == 0 for _, stage in p.STAGES)
