@@ -77,13 +77,29 @@ def loss_texts(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> list[st
     return [unescape(formatted[offsets[a, 0] : offsets[b, 1]]) for a, b in zip(first, last, strict=True)]
 
 
-def chat_tokenizer(path: str):
-    from tokenizers import AddedToken
+def offsets_of(formatted: str, lengths: np.ndarray) -> np.ndarray:
+    """Offsets (code points) of tokens that stand for ``lengths`` bytes each; a part of a character has all of it."""
+    raw = np.frombuffer(formatted.encode(), np.uint8)
+    place = np.cumsum((raw & 0xC0) != 0x80) - 1  # the code point of each byte
+    end = np.cumsum(lengths)
+    return np.stack([place[end - lengths], place[end - 1] + 1], axis=1).astype("<u4").reshape(-1, 2)
 
-    tok = tokens.load(path)
-    tok.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in CONTROLS])
-    tok.encode_special_tokens = False  # texts are escaped: whatever looks like a control string is one
-    return tok
+
+def encode_with_offsets(encoder: tokens.UnitEncoder, formatted: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and offsets of each string.
+
+    Where a token's characters are bytes, offsets follow from their numbers, and
+    words met before aren't encoded again; else the library gives both.
+    """
+    if encoder.style != "spaced":
+        for e in encoder.tok.encode_batch(formatted, add_special_tokens=False):
+            yield np.array(e.ids, dtype="<u4"), np.array(e.offsets, dtype="<u4").reshape(-1, 2)
+        return
+    lengths = encoder.byte_lengths()
+    for at, ids, ends in encoder.encode(pa.array(formatted, pa.large_string())):
+        for k in range(len(ends) - 1):
+            own = ids[ends[k] : ends[k + 1]]
+            yield own.astype("<u4"), offsets_of(formatted[at + k], lengths[own])
 
 
 FORMATTED = "conv_id long, n_turns long, formatted string, ids binary, offsets binary, mask binary"
@@ -106,16 +122,14 @@ def format_conversations(df: DataFrame, tokenizer: str, trained: str = TRAINED)
     flat = grouped.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = chat_tokenizer(tokenizer)
+        encoder = tokens.UnitEncoder.of(tokenizer, controls=CONTROLS)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                ids, roles, texts = (c.to_pylist() for c in batch.slice(at, 64).columns)
+            for at in range(0, batch.num_rows, 256):
+                ids, roles, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 done = [render(list(zip(r, t, strict=True)), trained) for r, t in zip(roles, texts, strict=True)]
-                coded = tok.encode_batch([d[0] for d in done], add_special_tokens=False)
                 cols: list[list] = [[], [], []]
-                for (_, spans), e in zip(done, coded, strict=True):
-                    offsets = np.array(e.offsets, dtype="<u4").reshape(-1, 2)
-                    for c, x in zip(cols, (np.array(e.ids, dtype="<u4"), offsets, loss_mask(offsets.astype(np.int64), spans)), strict=True):
+                for (_, spans), (coded, offsets) in zip(done, encode_with_offsets(encoder, [d[0] for d in done]), strict=True):
+                    for c, x in zip(cols, (coded, offsets, loss_mask(offsets.astype(np.int64), spans)), strict=True):
                         c.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in roles], pa.int64()), pa.array([d[0] for d in done], pa.string()), *(pa.array(c, pa.binary()) for c in cols)], ["conv_id", "n_turns", "formatted", "ids", "offsets", "mask"])
 

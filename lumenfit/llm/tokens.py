@@ -105,20 +105,38 @@ class UnitEncoder:
     """``encode(texts)`` gives the ids of each text, concatenated, and offsets.
 
     max_units bounds the memo; beyond it units are still encoded, but not kept.
+    controls are further special tokens, of which none overlaps another.
     """
 
     _kept: dict = {}
 
-    def __init__(self, path: str, max_units: int = 700_000):
+    def __init__(self, path: str, max_units: int = 700_000, controls: tuple[str, ...] = ()):
         self.tok, self.style, self.memo = load(path), cut_style(path), UnitMemo(max_units)
-        self.added = added_pattern(path)
+        self.added, self.controls = added_pattern(path), controls
+        if controls:
+            from tokenizers import AddedToken
+
+            self.tok.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in controls])
+            self.style = self.style if self.style == "spaced" else "whole"
 
     @classmethod
-    def of(cls, path: str, max_units: int = 700_000) -> UnitEncoder:
+    def of(cls, path: str, max_units: int = 700_000, controls: tuple[str, ...] = ()) -> UnitEncoder:
         """One encoder for each file in a worker: tasks that follow reuse its memo."""
-        if (path, max_units) not in cls._kept:
-            cls._kept[path, max_units] = cls(path, max_units)
-        return cls._kept[path, max_units]
+        key = (path, max_units, controls)
+        if key not in cls._kept:
+            cls._kept[key] = cls(*key)
+        return cls._kept[key]
+
+    def byte_lengths(self) -> np.ndarray:
+        """Bytes of text that each id stands for; only where a character of a token is a byte (``spaced``)."""
+        if not hasattr(self, "_lengths"):
+            vocab = self.tok.get_vocab(with_added_tokens=True)
+            self._lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+            for token, i in vocab.items():
+                self._lengths[i] = len(token)
+            for i, token in self.tok.get_added_tokens_decoder().items():
+                self._lengths[i] = len(token.content.encode())
+        return self._lengths
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and their number by text."""
@@ -150,6 +168,8 @@ class UnitEncoder:
         """ids and offsets of texts that may be cut at spaces and line ends."""
         if self.style == "spaced":
             marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", f"{MARK}\n{MARK}")
+            for c in self.controls:
+                marked = pc.replace_substring(marked, c, MARK + c + MARK)
             lists = pc.split_pattern(marked, MARK)
         else:
             lists = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")

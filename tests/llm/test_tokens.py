@@ -175,6 +175,26 @@ def test_op10_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0), BYTE)).count() == 0
 
 
+def test_op10_ids_and_offsets_as_the_library_gives_them():
+    rng = random.Random(8)
+    words = [*BITS, "word", " word", "  two", "\n\n", "\t", "naïve", "\u3000", "𝄞", "it's", " 12", "<|endoftext|>", "\x01", "\x85"]
+    texts = []
+    for _ in range(400):
+        turns = [(rng.choice(["user", "assistant", None]), "".join(rng.choice(words) for _ in range(rng.randrange(12)))) for _ in range(rng.randrange(4))]
+        texts.append(chat.render(turns)[0])
+    encoder = tokens.UnitEncoder(BYTE, controls=chat.CONTROLS)
+    plain = tokens.load(BYTE)
+    plain.add_special_tokens(list(chat.CONTROLS))
+    assert encoder.style == "spaced" and any("<|endoftext|>" in t for t in texts)
+    for _ in range(2):  # with an empty memo and a full one
+        got = list(chat.encode_with_offsets(encoder, texts))
+        want = [plain.encode(t, add_special_tokens=False) for t in texts]
+        assert [i.tolist() for i, _ in got] == [e.ids for e in want]
+        assert [[tuple(o) for o in x.tolist()] for _, x in got] == [e.offsets for e in want]
+    other = tokens.UnitEncoder(WORD, controls=chat.CONTROLS)  # a tokenizer whose tokens aren't bytes: the library's offsets
+    assert other.style == "whole" and all(len(i) == len(o) for i, o in chat.encode_with_offsets(other, texts))
+
+
 def test_op10_mask_against_plain():
     rng = np.random.default_rng(0)
     for _ in range(200):
