@@ -7,6 +7,11 @@ weighted Jaccard similarity.  Bands of samples propose candidates, signatures
 thin them out, and links are verified by the exact weighted Jaccard similarity:
 first inside blocks of candidates, then between the classes that blocks have
 left apart.
+
+Document frequencies take weight from what a large group of copies shares, so
+that its near copies fall below the threshold as the group grows.  With
+``plain``, min-hashes of the shingles propose candidates too, and the plain
+Jaccard similarity links as well.
 """
 
 from __future__ import annotations
@@ -30,7 +35,11 @@ SAMPLES = BANDS * ROWS
 BATCH, SLICE = 1 << 18, 1 << 16
 IN_WORD = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 IN_WORD[128:] = True
+#: Min-hashes of the plain shingle sets, which stand behind the weighted samples.
+PLAIN_BANDS = 10
+PLAIN = PLAIN_BANDS * ROWS
 SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) << U(32))
+PLAIN_SEEDS = mix(np.arange(1, PLAIN + 1, dtype=np.uint64) << U(16))
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -96,6 +105,20 @@ def samples(shingle: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.n
     return out
 
 
+def minima(shingle: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """texts x PLAIN of 32 bits: the least hash of the shingles for each seed."""
+    out = np.empty((len(starts), PLAIN), np.uint32)
+    for k, seed in enumerate(PLAIN_SEEDS):
+        out[:, k] = np.minimum.reduceat(mix(shingle ^ seed) >> U(32), starts)
+    return out
+
+
+def agree(same: np.ndarray, need: int) -> np.ndarray:
+    """Whether ``need`` of the weighted samples agree, or the same share of the min-hashes behind them, if there are any."""
+    met = same[:, :SAMPLES].sum(axis=1) >= need
+    return met | (same[:, SAMPLES:].sum(axis=1) >= need * PLAIN // SAMPLES) if same.shape[1] > SAMPLES else met
+
+
 def idf_steps(counts: np.ndarray, rows: int) -> np.ndarray:
     """Inverse document frequency in eighths, at least one."""
     return np.clip(np.round(8 * np.log((1 + rows) / (1 + counts))), 1, 255).astype(np.uint8)
@@ -144,8 +167,8 @@ class Weighted:
         self.start = np.r_[0, np.cumsum([len(b[0]) for b in both], dtype=np.int64)].astype(np.int64)
         self.total = np.array([b[1].sum() for b in both])
 
-    def jaccard(self, x: int, others: np.ndarray) -> np.ndarray:
-        """Weighted Jaccard similarity of set x to others, some at a time."""
+    def jaccard(self, x: int, others: np.ndarray, plain: bool = False) -> np.ndarray:
+        """Weighted Jaccard similarity of set x to others, some at a time; with ``plain`` the unweighted one where it is greater."""
         mine, w = self.shingle[self.start[x] : self.start[x + 1]], self.weight[self.start[x] : self.start[x + 1]]
         out = np.zeros(len(others))
         sizes = self.start[others + 1] - self.start[others]
@@ -156,8 +179,12 @@ class Weighted:
             where = ragged(self.start[some], size)
             their = self.shingle[where]
             k = np.minimum(np.searchsorted(mine, their), len(mine) - 1)
-            met = np.bincount(np.repeat(np.arange(len(some)), size), np.where(mine[k] == their, np.minimum(w[k], self.weight[where]), 0.0), len(some))
+            number, same = np.repeat(np.arange(len(some)), size), mine[k] == their
+            met = np.bincount(number, np.where(same, np.minimum(w[k], self.weight[where]), 0.0), len(some))
             out[at:to] = met / (self.total[x] + self.total[some] - met)
+            if plain:
+                both = np.bincount(number, same, len(some))
+                out[at:to] = np.maximum(out[at:to], both / (len(mine) + size - both))
             at = to
         return out
 
@@ -193,7 +220,7 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def signatures_of(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SAMPLES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
 
 
 def searched(sig: np.ndarray, need: int, linked: Callable[[int, np.ndarray], np.ndarray] = lambda y, near: near) -> np.ndarray:
@@ -211,7 +238,7 @@ def searched(sig: np.ndarray, need: int, linked: Callable[[int, np.ndarray], np.
         queue = [x]
         while queue and len(free):
             y = queue.pop()
-            near = free[(sig[free] == sig[y]).sum(axis=1) >= need]
+            near = free[agree(sig[free] == sig[y], need)]
             if not len(near):
                 continue
             found = linked(y, near)
@@ -238,7 +265,7 @@ def proposed(texts: DataFrame, need: int, crowd: int) -> DataFrame:
             size = np.diff(np.r_[start, table.num_rows])
             node, sig = table.column("node").to_numpy(), signatures_of(table.column("signature"))
             head = np.repeat(start, size)
-            near = (sig == sig[head]).sum(axis=1) >= need
+            near = agree(sig == sig[head], need)
             for g in np.flatnonzero(~np.logical_and.reduceat(near, start)):  # not all agree with the first
                 here = slice(start[g], start[g] + size[g])
                 head[here] = start[g] + searched(sig[here], need)
@@ -252,7 +279,7 @@ def proposed(texts: DataFrame, need: int, crowd: int) -> DataFrame:
 
 
 def classes_in(sets: Weighted, sig: np.ndarray, similarity: float, need: int) -> np.ndarray:
-    return searched(sig, need, lambda y, near: near[sets.jaccard(y, near) >= similarity])
+    return searched(sig, need, lambda y, near: near[sets.jaccard(y, near, sig.shape[1] > SAMPLES) >= similarity])
 
 
 def block_classes(rows: DataFrame, similarity: float, need: int) -> DataFrame:
@@ -292,7 +319,7 @@ def across(sig: np.ndarray, group: Callable[[], np.ndarray], side: np.ndarray, h
         if not len(rest):
             continue
         same = sig[rest] == sig[y]
-        near = (same.sum(axis=1) >= need) & ~same[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+        near = agree(same, need) & ~same[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
         if near.any():
             yield y, rest[near]
 
@@ -337,7 +364,7 @@ def border_links(own: DataFrame, bands: DataFrame, similarity: float, need: int,
         sets, unions = Weighted(table.column("set").to_pylist()), Unions(group.max() + 1)
         u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for y, near in across(sig, lambda: unions.over[group], side, halves, band, need):
-            linked = near[sets.jaccard(y, near) >= similarity]
+            linked = near[sets.jaccard(y, near, sig.shape[1] > SAMPLES) >= similarity]
             if len(linked):
                 unions.join(group[y], group[linked])
                 u.append(node[linked])
@@ -396,7 +423,7 @@ def large_classes(large: DataFrame, bands: DataFrame, similarity: float, need: i
 SIGNED = "doc_id long, h1 long, h2 long, node long, cells int, signature binary, bands array<long>, set binary"
 
 
-def signed_rows(df: DataFrame) -> DataFrame:
+def signed_rows(df: DataFrame, plain: bool = False) -> DataFrame:
     """A stashed row for each of ``doc_id, text``: node (its number), signature, bands and weighted set (null without words)."""
     held = packs.packed(df, True, "packs")
     rows = held.agg(F.sum("n")).first()[0] or 0
@@ -417,8 +444,10 @@ def signed_rows(df: DataFrame) -> DataFrame:
             step = steps[np.searchsorted(known, shingle)]
             starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
             got = samples(shingle, times * (step / 8.0), starts)
-            keys = np.empty((len(got), BANDS), np.uint64)
-            for b in range(BANDS):
+            if plain:
+                got = np.hstack([got, minima(shingle, starts)])
+            keys = np.empty((len(got), got.shape[1] // ROWS), np.uint64)
+            for b in range(keys.shape[1]):
                 z = np.full(len(got), b + 1, np.uint64)
                 for k in range(ROWS):
                     z = mix(z ^ got[:, b * ROWS + k].astype(np.uint64)) + U(k + 1)
@@ -435,13 +464,15 @@ def signed_rows(df: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0.5, crowd: int = 2000, room: int = 1 << 20) -> DataFrame:
+def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0.5, crowd: int = 2000, room: int = 1 << 20, plain: bool = False) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), and h1, h2 (two hashes of the text) of each row of ``doc_id, text``.
 
     Classes are components of links: equal texts, and texts whose weighted
     Jaccard similarity is at least ``similarity``.  A link is found unless all
     bands miss it (9e-5 at 0.8, less above) or less than ``agreement`` of the
-    samples agree (1e-5).  A task compares about ``crowd`` texts or ``room``
+    samples agree (1e-5).  With ``plain`` texts whose shingle sets have that
+    plain Jaccard similarity are links too (missed with 8e-4 at 0.8, 6e-6 at
+    0.9), so that a text's group and the table may be of any size.  A task compares about ``crowd`` texts or ``room``
     shingles (or one longer text) at once; larger components of candidates are
     dealt to several, with the same links.
 
@@ -452,7 +483,7 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0
     read.  An empty table gives no rows.
     """
     spark = df.sparkSession
-    signed = signed_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")))
+    signed = signed_rows(df.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")), plain)
     need = int(np.ceil(agreement * SAMPLES))
     equal = ["h1", "h2"]
     same = signed.groupBy(*equal).agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc"))
@@ -480,4 +511,4 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, agreement: float = 0
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return near_duplicates(common.table(spark, sf_dir, "documents"), plain=True).select("doc_id", "class_id")

@@ -256,6 +256,22 @@ def test_op5_two_hubs(spark):
         assert sorted(sorted(g) for g in got.values()) == brute_near(rows), crowd
 
 
+@pytest.mark.parametrize("options", [{}, {"crowd": 4}])
+def test_op5_near_copies_in_a_large_group(spark, options):
+    """Near copies of 0.8 and more belong to their group even where it is most of the table and its shingles weigh little."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(140)]
+    rows = [(k, " ".join([*base[:20], *(word() for _ in range(9)), *base[29:]])) for k in range(60)]
+    rows += [(100 + k, " ".join(word() for _ in range(100))) for k in range(40)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows[:60]]
+    assert all(len(x & y) / len(x | y) >= 0.8 for x in sets for y in sets)
+    weighted = near_groups(neardup.near_duplicates(docs(spark, rows), **options))
+    assert len(weighted) == 100  # by weighted similarity alone
+    got = near_groups(neardup.near_duplicates(docs(spark, rows), plain=True, **options))
+    assert len(got) == 41 and sorted(map(int, got[0])) == list(range(60))
+
+
 def test_op5_long_text_in_slices():
     rng = np.random.default_rng(1)
     text, shingle = np.array([0] * 50 + [1] * 700 + [2] * 3), rng.integers(0, 1 << 48, 753).astype(np.uint64)
