@@ -317,6 +317,14 @@ def test_components(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == label
 
+def test_components_of_few_edges_take_no_rounds(spark):
+    edges = [(k, k + 1) for k in range(40) if k % 10 != 9] + [(7, 7), (60, -5), (-5, 60), (61, 60)]
+    want = {k: k - k % 10 for k in range(40)} | {-5: -5, 60: -5, 61: -5}
+    table = spark.createDataFrame(edges, "u long, v long")
+    for options in ({"rounds": 0}, {"task_edges": 0}):  # in one task; by stars
+        assert {r.node: r.label for r in components.components(table, **options).collect()} == want
+    assert components.components(table.filter("u > 99"), rounds=0).collect() == []
+
 
 DATA = "/root/testdata/sf0.001"
 
