@@ -292,7 +292,7 @@ def pls_fit(spark, sf):
 @query
 def baseline_comparison(spark, sf):
     models = [baselines.RidgeBaseline(), baselines.PLSBaseline(2), baselines.ElasticNetBaseline(), baselines.OracleOLSBaseline(["qty"]), baselines.GBTBaseline()]
-    with held(parts(spark, sf)) as p:
+    with held(model(spark, sf)) as m, held(split.split_partitions(m, strata_column="o_orderpriority", keys=KEY)) as p:
         x = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *XS)
         y = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *YS)
         out = baselines.compare_baselines(models, x("train"), y("train"), x("test"), y("test"), keys=KEY)
@@ -423,7 +423,7 @@ def standardization_frame(spark, sf):
 
 @query
 def canonical_workflow(spark, sf):
-    with held(parts(spark, sf)) as p:
+    with held(model(spark, sf)) as m, held(split.split_partitions(m, strata_column="o_orderpriority", keys=KEY)) as p:
         x = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *XS)
         y = lambda k: p.filter(F.col("partition") == k).select("o_orderkey", *YS)
         run = workflow.run_canonical_workflow(x("train"), y("train"), x("test"), y("test"), keys=KEY, dataset_tag="orders")
