@@ -39,6 +39,22 @@ def errors(Y_true: DataFrame, Y_pred: DataFrame, keys: list[str], keep: Sequence
     return long(rows.select(*map(c, [*keys, *keep]), *squares), keys, "e2", outputs, keep)
 
 
+def errors_of_two(Y_true: DataFrame, Y_pred_a: DataFrame, Y_pred_b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, output_name, e2, b2: squared differences of two predictions, for keys that all three tables have.
+
+    Rows are joined before they are cut into cells, by keys alone, so tables
+    that lie together by key aren't dealt anew.
+    """
+    outputs = others(Y_true, keys)
+    rows = Y_true
+    for mark, pred in (("a", Y_pred_a), ("b", Y_pred_b)):
+        rows = rows.join(pred.select(*map(c, keys), *(c(n).alias(f"_{mark}_{n}") for n in outputs)), keys)
+    square = lambda n, mark: F.pow(c(n).cast("double") - c(f"_{mark}_{n}").cast("double"), 2)
+    known = lambda x: F.nanvl(x, F.lit(None).cast("double"))
+    cells = F.array(*(F.struct(F.lit(n).alias("output_name"), known(square(n, "a")).alias("e2"), known(square(n, "b")).alias("b2")) for n in outputs))
+    return rows.select(*map(c, keys), F.explode(cells).alias("_c")).select(*map(c, keys), "_c.*")
+
+
 def _mean_all(x: Column) -> Column:
     """Mean of all rows: null as soon as one is missing."""
     return F.when(F.count(x) == F.count(F.lit(1)), F.avg(x))

@@ -380,3 +380,55 @@ def test_bootstrap_missing_errors_by_either_route(spark):
     rows = bootstrap.indexed(spark.range(20), K)
     one, two = ({r.rep: r.e2 for r in bootstrap.replicate_values(err, included, rows, [0, 4], 9, K, most_broadcast=m).collect()} for m in (10**6, 0))
     assert one.keys() == {0, 4} and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
+def exchanges(df):
+    """What joins and aggregations deal anew."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line and "ENSURE_REQUIREMENTS" in line]
+
+
+def test_paired_errors_of_tables_that_lie_together(spark):
+    """Both errors of a cell as by two tables of errors; rows that lie by key aren't dealt again, neither by key nor by output."""
+    rng = np.random.default_rng(0)
+    y = rng.normal(size=(40, 3))
+    y[3, 1] = np.nan
+    m = frame(spark, np.c_[y, y + 0.1, y * 2], [n + k for k in ("", "1", "2") for n in "abc"]).repartition(4, "id").persist()
+    m.count()
+    t, p, q = (m.select("id", *(F.col(n + k).alias(n) for n in "abc")) for k in ("", "1", "2"))
+    got = metrics.errors_of_two(t, p, q, K)
+    want = {(r.id, r.output_name): [r.e2] for r in metrics.errors(t, p, K).collect()}
+    for r in metrics.errors(t, q, K).collect():
+        want[r.id, r.output_name].append(r.e2)
+    assert {(r.id, r.output_name): [r.e2, r.b2] for r in got.collect()} == want and want[3, "b"] == [None, None]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not exchanges(metrics.errors_of_two(t, p, q, K))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    with pytest.raises(Exception, match="same rows"):
+        bootstrap.bootstrap_paired_difference_ci(t, p, q.filter("id > 0"), t, keys=K, n_boot=3)
+    m.unpersist()
+
+
+def test_places_deal_rows_without_digests(spark):
+    """What is dealt to the blocks is the rows' own columns and the block's numbers: a digest would be most of it."""
+    strata = spark.range(30).withColumn("s", F.col("id") % 2)
+    for by in ([], ["s"]):
+        placed = split.places(strata, by, K, 7)
+        plan = placed._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("RepartitionByExpression") :]
+        assert "_order" not in below and "_order" in plan
+        order = {r.id: r.d for r in strata.select("id", split.order_hash(7, K).alias("d")).collect()}
+        for part in {tuple(r[b] for b in by) for r in strata.collect()}:
+            rows = [r for r in placed.collect() if tuple(r[b] for b in by) == part]
+            assert [r.id for r in sorted(rows, key=lambda r: r._place)] == sorted((r.id for r in rows), key=order.get)
+            assert sorted(r._place for r in rows) == list(range(1, len(rows) + 1)) and {r._size for r in rows} == {len(rows)}
+
+
+def test_bootstrap_counts_travel_packed():
+    few = np.random.default_rng(0).poisson(1, 1 << 16).astype(np.uint8)
+    for counts in (few, few[:7], np.array([16, 1, 3], np.uint8), np.array([300, 2], np.uint16), np.array([1 << 20], np.uint32)):
+        got = bootstrap.unpacked(*bootstrap.packed(counts))
+        assert got[: len(counts)].tolist() == counts.tolist() and not got[len(counts) :].any()
+    assert len(bootstrap.packed(few)[1]) < 0.245 * len(few)  # a draw a row: 0.235 bytes at best
